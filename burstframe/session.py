@@ -14,6 +14,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "bur
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.extraJavaOptions", "-Xss16m")
         .getOrCreate()
