@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from burstframe.functions import text as tx
 from burstframe.operators.tagging import has_foreign
@@ -29,6 +29,7 @@ SHORT = f"(?:{_VERB}(?:{_PREP})?)+"
 LONG = f"(?:{_VERB}(?:[WRG]*(?:{_PREP})+)?)+"
 STRIPPED = ("UH", ",", ".", "-LRB-", "-RRB-")
 NO_ARGUMENT = ("WDT", "WP", "WP$", "EX")
+_CODE_OF = {name: code for code, names in CODES.items() for name in names.split()}
 _SPAN = StructType([StructField("st", IntegerType()), StructField("ed", IntegerType())])
 
 
@@ -100,79 +101,90 @@ def span_relation(a: Column, b: Column) -> Column:
     )
 
 
-def _sequence(st: Column, ed: Column) -> Column:
-    return F.when(st <= ed, F.sequence(st, ed)).otherwise(F.array().cast("array<int>"))
+Span = tuple[int, int]
 
 
-def strip_span(tags: Column, span: Column, tag: str) -> Column:
-    """The span without the tag at its ends; null if nothing is left."""
-    kept = F.filter(_sequence(span.st, span.ed), lambda i: F.get(tags, i) != tag)
-    return F.when(F.size(kept) > 0, F.struct(F.array_min(kept).alias("st"), F.array_max(kept).alias("ed")))
-
-
-def _is_noun(tags: Column, i: Column) -> Column:
-    return F.coalesce(F.get(tags, i).startswith("NN"), F.lit(False))
-
-
-def refine_phrases(tags: Column, phrases: Column) -> Column:
-    """Phrases without interjections, marks and brackets at their ends, cut at inner commas and stops into the pieces that
-    end in a noun."""
+def refine_phrase(tags: list[str], span: Span) -> list[Span]:
+    """The phrase without interjections, marks and brackets at its ends; if commas or stops are inside, the pieces between
+    them that end in a noun."""
+    st, ed = span
     for tag in STRIPPED:
-        phrases = F.filter(F.transform(phrases, lambda s, tag=tag: strip_span(tags, s, tag)), lambda s: s.isNotNull())
-
-    def pieces(s: Column) -> Column:
-        marks = F.filter(_sequence(s.st, s.ed), lambda i: F.get(tags, i).startswith(",") | F.get(tags, i).startswith("."))
-        inner = F.transform(
-            marks,
-            lambda m, i: F.when(_is_noun(tags, m - 1), F.struct(F.when(i == 0, s.st).otherwise(F.get(marks, i - 1) + 1).alias("st"), (m - 1).alias("ed"))),
-        )
-        last = F.when(_is_noun(tags, s.ed), F.struct((F.array_max(marks) + 1).alias("st"), s.ed.alias("ed")))
-        cut = F.filter(F.array_append(inner, last), lambda x: x.isNotNull())
-        return F.when(F.size(marks) > 0, cut).otherwise(F.array(F.struct(s.st.alias("st"), s.ed.alias("ed"))))
-
-    return F.flatten(F.transform(phrases, pieces))
-
-
-def valid_argument(tags: Column, span: Column) -> Column:
-    return ~F.exists(_sequence(span.st, span.ed), lambda i: F.get(tags, i).isin(*NO_ARGUMENT))
-
-
-def arguments(tags: Column, phrases: Column, verb: Column) -> tuple[Column, Column]:
+        while st <= ed and tags[st] == tag:
+            st += 1
+        while st <= ed and tags[ed] == tag:
+            ed -= 1
+    if st > ed:
+        return []
+    marks = [i for i in range(st, ed + 1) if tags[i][:1] in (",", ".")]
+    ends = [m - 1 for m in marks] + [ed]
+    pieces = list(zip([st, *(m + 1 for m in marks)], ends, strict=True))
+    return [p for p in pieces if p[1] >= 0 and tags[p[1]].startswith("NN")] if marks else pieces
+
+
+def arguments(tags: list[str], phrases: list[Span], verb: Span) -> tuple[Span | None, Span | None]:
     """The spans of the nearest valid phrases before and after a verb. Without any phrase in the sentence the nearest noun,
-    with one more beside it; with none that fits the nearest noun alone; else null."""
-    nouns = F.filter(_sequence(F.lit(0), F.size(tags) - 1), lambda i: _is_noun(tags, i))
-    left = F.array_max(F.filter(nouns, lambda i: i < verb.st))
-    right = F.array_min(F.filter(nouns, lambda i: i > verb.ed))
-    some = F.size(phrases) > 0
-    valid = F.filter(phrases, lambda s: valid_argument(tags, s))
-    before = F.try_element_at(F.filter(valid, lambda s: s.ed < verb.st), F.lit(-1))
-    after = F.get(F.filter(valid, lambda s: s.st > verb.ed), F.lit(0))
-    left_wide = F.when(left.isNotNull(), F.struct(F.when(~some & _is_noun(tags, left - 1), left - 1).otherwise(left).alias("st"), left.alias("ed")))
-    right_wide = F.when(right.isNotNull(), F.struct(right.alias("st"), F.when(~some & _is_noun(tags, right + 1), right + 1).otherwise(right).alias("ed")))
-    return F.coalesce(before, left_wide), F.coalesce(after, right_wide)
-
-
-def span_text(words: Column, span: Column) -> Column:
-    """Words joined by _, mentions as @usr, in lower case and with repeats normalized; empty for no span."""
-    picked = F.array_join(tx.anonymize_mentions(F.slice(words, span.st + 1, span.ed - span.st + 1)), "_")
-    return F.when(span.isNull(), "").otherwise(tx.normalize_repeats(F.lower(picked)))
+    with one more beside it; with none that fits the nearest noun alone; else none."""
+    valid = [p for p in phrases if not any(tags[i] in NO_ARGUMENT for i in range(p[0], p[1] + 1))]
+    before = next((p for p in reversed(valid) if p[1] < verb[0]), None)
+    after = next((p for p in valid if p[0] > verb[1]), None)
+    noun = [t.startswith("NN") for t in tags]
+    if before is None:
+        i = next((i for i in range(verb[0] - 1, -1, -1) if noun[i]), -1)
+        if i >= 0:
+            before = (i - 1 if not phrases and i > 0 and noun[i - 1] else i, i)
+    if after is None:
+        i = next((i for i in range(verb[1] + 1, len(tags)) if noun[i]), -1)
+        if i >= 0:
+            after = (i, i + 1 if not phrases and i + 1 < len(tags) and noun[i + 1] else i)
+    return before, after
+
+
+def _text(words: list[str], span: Span | None) -> str:
+    if span is None:
+        return ""
+    kept = ("@usr" if w[0] == "@" and len(w) > 1 else w.replace("|", "") for w in words[span[0] : span[1] + 1] if w)
+    return re.sub(r"((\w)+)\1{3,}", r"\2\2\2", "_".join(kept).lower())
+
+
+def extract(words: list[str], tags: list[str], phrases: list[Span]) -> list[dict[str, str]]:
+    """The frames of one sentence, by the place of their verbs."""
+    code = "".join(_CODE_OF.get(t, "X") for t in tags)
+    verbs: list[list[int]] = []
+    for s in _python_spans(code):
+        if verbs and s["st"] <= verbs[-1][1]:
+            verbs[-1][1] = max(verbs[-1][1], s["ed"])
+        else:
+            verbs.append([s["st"], s["ed"]])
+    refined = [p for span in phrases for p in refine_phrase(tags, span)]
+    out = []
+    for st, ed in verbs:
+        arg1, arg2 = arguments(tags, refined, (st, ed))
+        out.append({"arg1": _text(words, arg1), "verb": _text(words, (st, ed)), "arg2": _text(words, arg2)})
+    return out
+
+
+_FRAMES = ArrayType(StructType([StructField(n, StringType()) for n in ("arg1", "verb", "arg2")]))
+
+
+@F.pandas_udf(_FRAMES)
+def _extract(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for batch in columns:
+        rows = zip(*batch, strict=True)
+        found = [extract(list(w), list(t), [] if st is None else list(zip(st.tolist(), ed.tolist(), strict=True))) for w, t, st, ed in rows]
+        yield pd.Series(found, dtype=object)
 
 
 def frames(sentences: DataFrame, phrases: str = "phrases") -> DataFrame:
     """Adds frames, an array of (arg1, verb, arg2), to rows with tokens and phrases. Sentences with a foreign word and
-    sentences without a verb span have no row. phrases may be null or empty."""
-    rows = sentences.where(~has_foreign(F.col("tokens")))
-    rows = rows.withColumns({"tags": F.transform("tokens", lambda t: t.tag), "words": F.transform("tokens", lambda t: t.word)})
-    rows = rows.withColumn("verbs", verb_spans(F.col("tags")))
-    rows = rows.where(F.size("verbs") > 0).withColumn("verbs", merge_spans(F.col("verbs")))
-    rows = rows.withColumn("nps", F.coalesce(refine_phrases(F.col("tags"), F.col(phrases)), F.array().cast("array<struct<st: int, ed: int>>")))
-
-    def frame(v: Column) -> Column:
-        arg1, arg2 = arguments(F.col("tags"), F.col("nps"), v)
-        words = F.col("words")
-        return F.struct(span_text(words, arg1).alias("arg1"), span_text(words, v).alias("verb"), span_text(words, arg2).alias("arg2"))
+    sentences without a verb span have no row. phrases may be null or empty.
 
-    return rows.withColumn("frames", F.transform("verbs", frame)).drop("tags", "words", "verbs", "nps")
+    The arguments of a verb depend on each other's choices, which as one expression would be worked out again for every
+    use; one Arrow pass does each sentence once.
+    """
+    rows = sentences.where(~has_foreign(F.col("tokens")))
+    part = lambda column, field: F.transform(column, lambda x: x[field])
+    found = _extract(part("tokens", "word"), part("tokens", "tag"), part(phrases, "st"), part(phrases, "ed"))
+    return rows.withColumn("frames", found).where(F.size("frames") > 0)
 
 
 def frame_text(frame: Column) -> Column:

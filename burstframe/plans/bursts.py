@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from burstframe.operators import burst, events, slices
 from burstframe.plans.tweets import KNOWN, PLACED, placed_tweets
-from burstframe.session import table
+from burstframe.session import cut, table
 
 
 @dataclass
 class Course:
-    """The steps of one day-partitioned corpus, each a lazy table that is planned when first asked for."""
+    """The steps of one day-partitioned corpus, each made when first asked for. Steps that several others read, and that are
+    small against the corpus, are written once."""
 
     spark: SparkSession
     d: str
@@ -47,7 +48,7 @@ class Course:
 
     @cached_property
     def top(self) -> DataFrame:
-        return burst.top_bursts(self.bursts)
+        return cut(burst.top_bursts(self.bursts))
 
     @cached_property
     def involved(self) -> DataFrame:
@@ -65,7 +66,7 @@ class Course:
     @cached_property
     def members(self) -> DataFrame:
         held = burst.occurrences(self.units).join(self.top.select("day", "unit", "seg_id"), ["day", "unit"])
-        return held.join(self.sliced.select("day", "tweet_id", "slice"), ["day", "tweet_id"]).select("day", "slice", "seg_id", "tweet_id").distinct()
+        return cut(held.join(self.sliced.select("day", "tweet_id", "slice"), ["day", "tweet_id"]).select("day", "slice", "seg_id", "tweet_id").distinct())
 
     @cached_property
     def word_df(self) -> DataFrame:
@@ -86,7 +87,7 @@ class Course:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return slices.pair_similarities(self.vectors, slices.slice_shares(self.members, self.top))
+        return cut(slices.pair_similarities(cut(self.vectors), slices.slice_shares(self.members, self.top)))
 
     @cached_property
     def knn(self) -> DataFrame:
@@ -94,7 +95,7 @@ class Course:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return slices.clusters(self.top.select("day", F.col("seg_id").alias("node")), slices.mutual(self.knn))
+        return cut(slices.clusters(self.top.select("day", F.col("seg_id").alias("node")), slices.mutual(self.knn)))
 
     @cached_property
     def anchors(self) -> DataFrame:
@@ -107,7 +108,7 @@ class Course:
 
     @cached_property
     def worth(self) -> DataFrame:
-        return events.phrase_worth(self.top, self.anchors)
+        return cut(events.phrase_worth(self.top, self.anchors))
 
     @cached_property
     def scores(self) -> DataFrame:

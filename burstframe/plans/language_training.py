@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from burstframe.operators import langid as li
 from burstframe.plans.tweets import FIRST, first_rows
-from burstframe.session import table
+from burstframe.session import cut, table
 
 ORDERS, PER_ORDER, PER_LANG = 3, 2000, 50
 
@@ -21,6 +21,8 @@ def grams(text: Column) -> Column:
 
 @dataclass
 class Training:
+    """The steps of the training. The corpus is of fixed size; tables that several steps read are written once."""
+
     spark: SparkSession
     d: str
 
@@ -30,15 +32,15 @@ class Training:
 
     @cached_property
     def domains(self) -> DataFrame:
-        return li.postings(self.corpus, "domain", grams)
+        return cut(li.postings(self.corpus, "domain", grams))
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return li.select_df(li.term_df(self.domains), PER_ORDER)
+        return cut(li.select_df(li.term_df(self.domains), PER_ORDER))
 
     @cached_property
     def lang_gain(self) -> DataFrame:
-        return li.gain_each(li.postings(self.corpus, "lang", grams, features=self.candidates), li.class_sizes(self.corpus, "lang"))
+        return cut(li.gain_each(li.postings(self.corpus, "lang", grams, features=self.candidates), li.class_sizes(self.corpus, "lang")))
 
     @cached_property
     def domain_gain(self) -> DataFrame:
@@ -46,7 +48,7 @@ class Training:
 
     @cached_property
     def features(self) -> DataFrame:
-        return li.select_ld(li.language_domain_weights(self.lang_gain, self.domain_gain), PER_LANG)
+        return cut(li.select_ld(li.language_domain_weights(self.lang_gain, self.domain_gain), PER_LANG))
 
     @cached_property
     def prior(self) -> DataFrame:
@@ -54,7 +56,7 @@ class Training:
 
     @cached_property
     def likelihood(self) -> DataFrame:
-        return li.bayes_likelihood(li.postings(self.corpus, "lang", grams, term_frequency=True, features=self.features), self.features, self.prior)
+        return cut(li.bayes_likelihood(li.postings(self.corpus, "lang", grams, term_frequency=True, features=self.features), self.features, self.prior))
 
 
 def _hex(df: DataFrame) -> DataFrame:
@@ -239,8 +241,8 @@ ORACLE = {
         scored AS (SELECT c.id, p.lang, round(p.logp + coalesce(s, 0), 9) AS score FROM (SELECT DISTINCT id FROM corpus) c CROSS JOIN prior p LEFT JOIN sums ON sums.id = c.id AND sums.lang = p.lang)
         SELECT id AS doc_key, lang FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS r FROM scored) WHERE r = 1""",
     "bl_weights": f"""WITH {_NB}, soft AS (SELECT term, lang, exp(logp) / sum(exp(logp)) OVER (PARTITION BY lang) AS p FROM ptc),
-        total AS (SELECT term, sum(p) AS t FROM soft GROUP BY term)
-        SELECT a.lang AS lang1, b.lang AS lang2, term, round(abs(a.p - b.p) / t, 8) AS weight FROM soft a JOIN soft b USING (term) JOIN total USING (term) WHERE a.lang < b.lang""",
+        sums AS (SELECT term, sum(p) AS z FROM soft GROUP BY term)
+        SELECT a.lang AS lang1, b.lang AS lang2, term, round(abs(a.p - b.p) / z, 8) AS weight FROM soft a JOIN soft b USING (term) JOIN sums USING (term) WHERE a.lang < b.lang""",
     "feature_table": f"""WITH {_LD} SELECT term, (length(term) // 2)::INT AS length, df, round(g.ig, 8) AS ig_domain, round(max(l.ig), 8) AS ig_lang, count(*)::INT AS n_langs
         FROM features JOIN df USING (term) JOIN domain_gain g USING (term) JOIN lang_gain l USING (term) GROUP BY term, df, g.ig""",
     "top_features": f"""WITH {_LD} SELECT term, round(max(l.ig), 8) AS ig_lang FROM features JOIN lang_gain l USING (term) GROUP BY term ORDER BY 2 DESC, term LIMIT 25""",

@@ -10,7 +10,10 @@ from burstframe.streaming import tweets as st
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parquet")
+    """The files of a table, whether it is one file or a folder of them."""
+    rows = spark.readStream.schema(table(spark, d, name).schema)
+    one = len(table(spark, d, name).inputFiles()) == 1 and table(spark, d, name).inputFiles()[0].endswith(f"/{name}.parquet")
+    return rows.option("pathGlobFilter", f"{name}.parquet").parquet(d) if one else rows.parquet(f"{d}/{name}.parquet")
 
 
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:

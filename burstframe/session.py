@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +25,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "bur
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written once to the folder that the cluster names in spark.checkpoint.dir, so that several uses need not
+    compute them again and an executor's loss costs nothing that came before. A machine-local folder is used only where
+    none is named, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()

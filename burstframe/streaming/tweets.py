@@ -61,7 +61,8 @@ def chunked_lines(lines: DataFrame, text: Column) -> DataFrame:
     """Adds line, the bracketed first sentence of each text; a stateless map."""
     tokens = tagging.tag_sentence(F.coalesce(F.get(tagging.sentences(text), F.lit(0)), F.lit("")))
     tagged = lines.withColumn("tokens", tokens)
-    return tagged.withColumn("line", chunking.bracketed(F.col("tokens"), chunking.np_chunks(F.col("tokens")))).drop("tokens")
+    chunked = tagged.withColumn("spans", chunking.np_chunks(F.col("tokens")))
+    return chunked.withColumn("line", chunking.bracketed(F.col("tokens"), F.col("spans"))).drop("tokens", "spans")
 
 
 def shared_folder(spark: SparkSession) -> str:
