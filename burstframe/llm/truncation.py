@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstframe.llm.confusables import consistent
+from burstframe.session import cut
 
 #: A run of words needs so many occurrences to be judged, and a prefix so many words below it.
 LEAST_SEEN, LEAST_BELOW = 5, 4
@@ -183,10 +184,10 @@ def _judged(combos: DataFrame, counts: DataFrame) -> DataFrame:
 
 def judged_tails(documents: DataFrame) -> DataFrame:
     """(doc_id, source, cut) of every text that is not blank."""
-    ends = tails(documents)
+    ends = cut(tails(documents))  # read by every step below; a few short columns for each document
     keys = ["kind", "last", "w3", "w2", "w1"]
     words = ends.where("kind IN ('word', 'tag')")
-    broken = _judged(words.select(*keys).distinct(), corpus_counts(documents)).where("broken")
+    broken = _judged(words.select(*keys).distinct(), cut(corpus_counts(documents))).where("broken")
     known = ends.join(broken, keys, "left").withColumn("broken", (F.col("kind") == "mark") | F.coalesce("broken", F.lit(False)))
     known = known.withColumn("open", F.col("kind") == "word").select("doc_id", "source", "style", "n_chars", "n_bytes", "open", "broken")
     share = F.avg(F.col("broken").cast("int"))
