@@ -35,7 +35,7 @@ LOOKALIKES = {
 LATIN_TWINS = {"ɑ": "a", "ɡ": "g", "ı": "i"}
 _WIDTH = [*range(0xFF01, 0xFFEF)]
 _JOINED = [*range(0xFB00, 0xFB07), 0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4)]
-_WORD = re.compile(r"\w+")
+_WORD = re.compile("[\\w\u0300-\u036f]+")
 _OTHER = re.compile("[Ͱ-ԯ԰-֏ᲀ-᲏ἀ-῿ⷠ-ⷿꙀ-ꚟ]")
 
 
@@ -91,7 +91,8 @@ def consistent(text: str | None) -> str | None:
     text = unicodedata.normalize("NFC", text.translate(_tables()[0]))
     if not _OTHER.search(text):
         return text
-    return _WORD.sub(lambda m: m[0] if m[0].isascii() else consistent_token(m[0]), text)
+    spelled = _WORD.sub(lambda m: m[0] if m[0].isascii() else consistent_token(m[0]), text)
+    return unicodedata.normalize("NFC", spelled)
 
 
 @F.pandas_udf(StringType())
