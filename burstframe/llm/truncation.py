@@ -32,6 +32,8 @@ LEAST_SEEN, LEAST_BELOW = 5, 4
 LIMIT_TEXTS, LIMIT_SHARE = 4, 0.6
 #: Entries that a task combines before it hands them on.
 MAX_ENTRIES = 400_000
+#: Characters in which the last three words and what follows them are looked for.
+TAIL = 1000
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[.!?…]+|\n+|[^\s\w]|_")
 _APART = re.compile(r"https?:\S*|(?<!\w)[@#$]\w+")
@@ -68,7 +70,8 @@ def tail_of(text: str) -> tuple[str, str, str, str, str, str] | None:
 
     kind: mark, ended, word or tag. style: how the text ends beyond its words.
     """
-    whole = (consistent(text) or "").rstrip()
+    end = text.rstrip()[-TAIL:]
+    whole = (consistent(end if len(end.split()) > 8 else text) or "").rstrip()
     if not whole:
         return None
     if _MARK.search(whole):
@@ -87,7 +90,7 @@ def tail_of(text: str) -> tuple[str, str, str, str, str, str] | None:
         return ("tag", style, tag[1].lower(), *_PAD)
     if not core or not _WORD_END.search(core) or re.search(r"https?://\S+$|(?<!\w)@\w+$|\d/\d$|-- [\w ]{1,20}$|[<:;=][\w]$", core):
         return ("ended", style, "", *_PAD)
-    last, words = _last_words(core[-400:].partition(" ")[2] if len(core) > 400 else core)
+    last, words = _last_words(core)
     return ("word", style, last, *words)
 
 
@@ -189,18 +192,19 @@ def judged_tails(documents: DataFrame) -> DataFrame:
     words = ends.where("kind IN ('word', 'tag')")
     broken = _judged(words.select(*keys).distinct(), cut(corpus_counts(documents))).where("broken")
     known = ends.join(broken, keys, "left").withColumn("broken", (F.col("kind") == "mark") | F.coalesce("broken", F.lit(False)))
-    known = known.withColumn("open", F.col("kind") == "word").select("doc_id", "source", "style", "n_chars", "n_bytes", "open", "broken")
+    known = cut(known.withColumn("open", F.col("kind") == "word").select("doc_id", "source", "style", "n_chars", "n_bytes", "open", "broken"))
+    judged = known
     share = F.avg(F.col("broken").cast("int"))
+    opened = known.where("open")
     for size in ("n_chars", "n_bytes"):
-        opened = known.where("open")
         own = opened.groupBy("source", "style", size).agg(F.count(F.lit(1)).alias("n"), share.alias("share"))
         every = opened.groupBy("style", size).agg(F.count(F.lit(1)).alias("n"), share.alias("share")).withColumn("source", F.lit(None).cast("string"))
         limits = own.where("source IS NOT NULL").unionByName(every).where((F.col("n") >= LIMIT_TEXTS) & (F.col("share") >= LIMIT_SHARE))
         limits = limits.select(F.col("source").alias("s"), F.col("style").alias("t"), F.col(size).alias("z"), F.lit(True).alias(f"at_{size}"))
-        match = known.source.eqNullSafe(limits.s) & (known.style == limits.t) & (known[size] == limits.z)
-        known = known.join(limits, match, "left").drop("s", "t", "z")
+        match = judged.source.eqNullSafe(limits.s) & (judged.style == limits.t) & (judged[size] == limits.z)
+        judged = judged.join(limits, match, "left").drop("s", "t", "z")
     at_limit = F.coalesce("at_n_chars", F.lit(False)) | F.coalesce("at_n_bytes", F.lit(False))
-    return known.select("doc_id", "source", (F.col("broken") | (F.col("open") & at_limit)).alias("cut"))
+    return judged.select("doc_id", "source", (F.col("broken") | (F.col("open") & at_limit)).alias("cut"))
 
 
 def cut_documents(documents: DataFrame) -> DataFrame:
