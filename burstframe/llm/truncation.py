@@ -32,6 +32,8 @@ LEAST_SEEN, LEAST_BELOW = 5, 4
 LIMIT_TEXTS, LIMIT_SHARE = 4, 0.6
 #: Entries that a task combines before it hands them on.
 MAX_ENTRIES = 400_000
+#: Parts that the texts with one ending are spread over.
+SALTS = 8
 #: Characters in which the last three words and what follows them are looked for.
 TAIL = 1000
 
@@ -191,20 +193,25 @@ def judged_tails(documents: DataFrame) -> DataFrame:
     keys = ["kind", "last", "w3", "w2", "w1"]
     words = ends.where("kind IN ('word', 'tag')")
     broken = _judged(words.select(*keys).distinct(), cut(corpus_counts(documents))).where("broken")
-    known = ends.join(broken, keys, "left").withColumn("broken", (F.col("kind") == "mark") | F.coalesce("broken", F.lit(False)))
-    known = cut(known.withColumn("open", F.col("kind") == "word").select("doc_id", "source", "style", "n_chars", "n_bytes", "open", "broken"))
-    judged = known
-    share = F.avg(F.col("broken").cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # the same few words end very many texts
+    words = words.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    known = words.join(broken.select(*keys, "broken", salts), [*keys, "salt"], "left").withColumn("broken", F.coalesce("broken", F.lit(False)))
+    others = ends.where("kind NOT IN ('word', 'tag')").withColumn("broken", F.col("kind") == "mark")
+    fields = ["doc_id", "source", "style", "n_chars", "n_bytes", "broken", (F.col("kind") == "word").alias("open")]
+    known = cut(known.select(*fields).unionByName(others.select(*fields)))
     opened = known.where("open")
+    undecided = opened.where("NOT broken")
+    share = F.avg(F.col("broken").cast("int"))
     for size in ("n_chars", "n_bytes"):
         own = opened.groupBy("source", "style", size).agg(F.count(F.lit(1)).alias("n"), share.alias("share"))
         every = opened.groupBy("style", size).agg(F.count(F.lit(1)).alias("n"), share.alias("share")).withColumn("source", F.lit(None).cast("string"))
         limits = own.where("source IS NOT NULL").unionByName(every).where((F.col("n") >= LIMIT_TEXTS) & (F.col("share") >= LIMIT_SHARE))
         limits = limits.select(F.col("source").alias("s"), F.col("style").alias("t"), F.col(size).alias("z"), F.lit(True).alias(f"at_{size}"))
-        match = judged.source.eqNullSafe(limits.s) & (judged.style == limits.t) & (judged[size] == limits.z)
-        judged = judged.join(limits, match, "left").drop("s", "t", "z")
+        match = undecided.source.eqNullSafe(limits.s) & (undecided.style == limits.t) & (undecided[size] == limits.z)
+        undecided = undecided.join(limits, match, "left").drop("s", "t", "z")
     at_limit = F.coalesce("at_n_chars", F.lit(False)) | F.coalesce("at_n_bytes", F.lit(False))
-    return judged.select("doc_id", "source", (F.col("broken") | (F.col("open") & at_limit)).alias("cut"))
+    decided = known.where("NOT open OR broken").select("doc_id", "source", F.col("broken").alias("cut"))
+    return decided.unionByName(undecided.select("doc_id", "source", at_limit.alias("cut")))
 
 
 def cut_documents(documents: DataFrame) -> DataFrame:
