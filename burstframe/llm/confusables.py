@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from burstframe.session import cut
+
 #: Scripts by preference.
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
 #: Letters of other alphabets with the shape of a Latin one.
@@ -108,7 +110,7 @@ def consistent_form(df: DataFrame, column: str, to: str) -> DataFrame:
     return df.withColumn(to, F.coalesce(_consistent(odd), value))
 
 
-def lookalike_pairs(values: DataFrame, salts: int = 16) -> DataFrame:
+def lookalike_pairs(values: DataFrame, salts: int = 8) -> DataFrame:
     """(field, id_a, id_b), id_a < id_b, of ids whose values in a field look alike and differ.
 
     values has field, id, value; repeated rows count once, nulls are left out. Spellings are compared before ids: a
@@ -123,17 +125,18 @@ def lookalike_pairs(values: DataFrame, salts: int = 16) -> DataFrame:
         .where("least <> most")
         .select("form_key")
     )
-    members = rows.join(several, "form_key", "left_semi").select("field", "form", "value", "id").distinct()
+    members = cut(rows.join(several, "form_key", "left_semi").select("field", "form", "value", "id").distinct())
     spellings = members.select("field", "form", "value").distinct()
     pairs = spellings.alias("a").join(spellings.alias("b"), ["field", "form"]).where("a.value < b.value")
     pairs = pairs.select("field", F.col("a.value").alias("one"), F.col("b.value").alias("other"))
-    # A spelling with very many ids is spread over `salts` parts; the other side is repeated for each.
-    salted = members.select("field", F.col("value").alias("one"), F.col("id").alias("one_id")).withColumn("salt", F.pmod(F.xxhash64("one_id"), F.lit(salts)))
-    left = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))).join(salted, ["field", "one", "salt"]).drop("salt", "one")
-    both = left.join(members.select("field", F.col("value").alias("other"), F.col("id").alias("other_id")), ["field", "other"])
-    return both.where("one_id <> other_id").select(
-        "field", F.least("one_id", "other_id").alias("id_a"), F.greatest("one_id", "other_id").alias("id_b")
-    ).distinct()
+    # A spelling with very many ids is spread over `salts` parts on either side; the other side is repeated for each.
+    each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    salted = members.select("field", "value", "id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    one = salted.select("field", F.col("value").alias("one"), F.col("id").alias("one_id"), "salt")
+    other = salted.select("field", F.col("value").alias("other"), F.col("id").alias("other_id"), "salt")
+    left = pairs.withColumn("salt", each).join(one, ["field", "one", "salt"]).select("field", "one_id", "other", each.alias("salt"))
+    both = left.join(other, ["field", "other", "salt"]).where("one_id <> other_id")
+    return both.select("field", F.least("one_id", "other_id").alias("id_a"), F.greatest("one_id", "other_id").alias("id_b")).distinct()
 
 
 def tweet_values(raw: DataFrame, users: DataFrame) -> DataFrame:
