@@ -85,11 +85,14 @@ def unit_bursts(units: DataFrame, sizes: DataFrame, social: DataFrame, ps: DataF
     return scored.where("wb IS NOT NULL").select("day", "unit", "f_st", "u_st", "wb", "n_tweets")
 
 
-def top_bursts(bursts: DataFrame) -> DataFrame:
+def top_bursts(bursts: DataFrame, parts: int = 32) -> DataFrame:
     """(day, seg_id, unit, f_st, wb): the floor(sqrt(n)) + 1 highest scores of each day, equal ones by unit; n is the
-    day's number of tweets of known users. The rank limit is applied before the shuffle too."""
-    order = W.partitionBy("day").orderBy(F.desc("wb"), "unit")
-    ranked = bursts.withColumn("seg_id", F.row_number().over(order) - 1)
+    day's number of tweets of known users. A day's units are ranked in `parts` parts first, so that no task sorts them
+    all; the best of each part are at most `parts` times the result."""
+    best = [F.desc("wb"), F.asc("unit")]
+    parted = bursts.withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(parts)))
+    kept = parted.withColumn("rank", F.row_number().over(W.partitionBy("day", "part").orderBy(*best))).where(F.col("rank") - 1 <= F.floor(F.sqrt("n_tweets")))
+    ranked = kept.withColumn("seg_id", F.row_number().over(W.partitionBy("day").orderBy(*best)) - 1)
     return ranked.where(F.col("seg_id") <= F.floor(F.sqrt("n_tweets"))).select("day", "seg_id", "unit", "f_st", "wb")
 
 
