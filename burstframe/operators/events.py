@@ -89,7 +89,7 @@ def relabel_report(units: DataFrame, labels: DataFrame) -> DataFrame:
     rows = units.select("day", "rank", F.posexplode("units").alias("i", "unit"))
     named = rows.join(labels.select("day", "unit", "label").distinct(), ["day", "unit"], "left").withColumn("name", F.coalesce("label", "unit"))
     listed = named.groupBy("day", "rank").agg(F.array_sort(F.collect_list(F.struct("i", "name"))).alias("x"))
-    return listed.select("day", "rank", F.array_distinct(F.transform("x", lambda x: x.name)).alias("labels"))
+    return listed.select("day", "rank", F.array_distinct(F.transform("x", lambda x: x["name"])).alias("labels"))
 
 
 def size_histogram(scores: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ LEXICON = {
     "MD": "can could may might must shall should will would",
     "VBZ": "is has does",
     "VBP": "am are have do",
-    "VBD": "was were had did broke found kept began bought brought caught chose drove felt forgot gave got heard held knew led left lost made met paid said sat saw sent sold spoke stood stopped took told thought went won wrote",
+    "VBD": "was were had did broke found kept began bought brought caught chose drove felt forgot gave got heard held knew led left lost made met paid ran said sat saw sent sold spoke stood stopped took told thought went won wrote",
     "VB": "be",
     "RB": "not never again very too also just now then always",
     "WDT": "which",

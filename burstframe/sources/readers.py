@@ -18,7 +18,7 @@ TWEET_DDL = (
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of text files. Line numbers are counted within each file, so a file is read by one task."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
@@ -85,7 +85,7 @@ def chunk_spans(lines: DataFrame, column: str = "line") -> DataFrame:
 
 def corpus_from_paths(spark: SparkSession, path: str) -> DataFrame:
     """(domain, lang, doc, text) of files at domain/lang/doc."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.split(F.col("_metadata.file_path"), "/").alias("p"), "value")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.split(F.col("_metadata.file_path"), "/").alias("p"), "value")
     return files.select(F.element_at("p", -3).alias("domain"), F.element_at("p", -2).alias("lang"), F.element_at("p", -1).alias("doc"), F.col("value").alias("text"))
 
 
