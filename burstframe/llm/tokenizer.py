@@ -27,8 +27,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pattern that cuts a text into pieces.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bounds of what one worker keeps; beyond them the automaton and the pieces are made anew, with the same results.
-MAX_STATES = 400_000
-MAX_PIECES = 400_000
+MAX_STATES = 200_000
+MAX_PIECES = 200_000
 
 
 class BpeTransducer:

@@ -31,7 +31,7 @@ LEAST_SEEN, LEAST_BELOW = 5, 4
 #: A length is a limit if so many texts, and such a share of them, are cut there.
 LIMIT_TEXTS, LIMIT_SHARE = 4, 0.6
 #: Entries that a task combines before it hands them on.
-MAX_ENTRIES = 400_000
+MAX_ENTRIES = 200_000
 #: Parts that the texts with one ending are spread over.
 SALTS = 8
 #: Characters in which the last three words and what follows them are looked for.
