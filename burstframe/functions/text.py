@@ -61,17 +61,34 @@ def strip_edges(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(word, "^[^a-zA-Z0-9$]+", ""), "[^a-zA-Z0-9$]+$", "")
 
 
-def clean_token(word: Column) -> Column:
-    """A token without what is no text, or null if nothing is left of it."""
-    is_tag = word.startswith("#")
-    body = F.when(is_tag, F.substring(word, 2, 1 << 30)).otherwise(word)
+def _token_parts(word: Column) -> Column:
+    """(word, body): the body is the word without the # of a tag."""
+    body = F.when(word.startswith("#"), F.substring(word, 2, 1 << 30)).otherwise(word)
+    return F.struct(word.alias("word"), body.alias("body"))
+
+
+def _plain_part(x: Column) -> Column:
+    return F.struct(x.word.alias("word"), x.body.alias("body"), strip_edges(decode_entities(x.body)).alias("plain"))
+
+
+def _cleaned(x: Column) -> Column:
+    word, body, plain = x.word, x.body, x.plain
     punctuation = (F.length(body) > 1) & ~body.rlike("[a-zA-Z0-9]")
-    plain = strip_edges(decode_entities(body))
     kept = ~punctuation & (F.length(plain) >= 1) & is_printable_ascii(plain)
-    text = F.when(kept, F.when(F.length(word) > 1, F.concat(F.when(is_tag, "#").otherwise(""), plain)).otherwise(plain))
+    text = F.when(kept, F.when(word.startswith("#"), F.concat(F.lit("#"), plain)).otherwise(plain))
     return F.when(F.contains(word, F.lit("http")), valid_url(word)).when(F.contains(word, F.lit("@")), mention(word)).otherwise(text)
 
 
+def _clean_each(words: Column) -> Column:
+    """Tokens cleaned, null for those of which nothing is left. Parts are worked out once for each token."""
+    return F.transform(F.transform(F.transform(words, _token_parts), _plain_part), _cleaned)
+
+
+def clean_token(word: Column) -> Column:
+    """A token without what is no text, or null if nothing is left of it."""
+    return F.get(_clean_each(F.array(word)), F.lit(0))
+
+
 def space_punctuation(word: Column) -> Column:
     """Spaces around ! , . ; and ? except before the first and after the last character; links are left alone."""
     tail = F.regexp_replace(F.substring(word, 2, 1 << 30), "([!,.;?])", " $1 ")
@@ -82,8 +99,7 @@ def space_punctuation(word: Column) -> Column:
 
 
 def clean_tokens(text: Column) -> Column:
-    cleaned = F.transform(F.split(text, " "), clean_token)
-    return F.transform(F.filter(cleaned, lambda w: w.isNotNull()), space_punctuation)
+    return F.transform(F.filter(_clean_each(F.split(text, " ")), lambda w: w.isNotNull()), space_punctuation)
 
 
 def clean_text(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from burstframe.functions import text as tx
-from burstframe.operators.tagging import has_foreign
+from burstframe.operators.tagging import lookup
 
 JVM_TOKENS = 300
 #: Tags by code. $ and PRP$ break a run of words, as X.
@@ -34,9 +34,7 @@ _SPAN = StructType([StructField("st", IntegerType()), StructField("ed", IntegerT
 
 
 def tag_code(tags: Column) -> Column:
-    pairs = [x for code, names in CODES.items() for n in names.split() for x in (F.lit(n), F.lit(code))]
-    known = F.create_map(*pairs)
-    return F.array_join(F.transform(tags, lambda t: F.coalesce(F.try_element_at(known, t), F.lit("X"))), "")
+    return F.array_join(F.transform(tags, lambda t: F.coalesce(lookup(CODES, t), F.lit("X"))), "")
 
 
 def _matches(code: Column, pattern: str) -> Column:
@@ -92,12 +90,12 @@ def merge_spans(spans: Column) -> Column:
 
 
 def span_relation(a: Column, b: Column) -> Column:
-    """Where b lies to a, by eight names."""
+    """Where b lies to a, by eight names. The names, spelled as the format has them."""
     st1, ed1, st2, ed2 = a.st, a.ed, b.st, b.ed
     return (
         F.when(ed2 + 1 < st1, "left").when(ed2 + 1 == st1, "left adjacent").when(st2 > ed1 + 1, "right").when(st2 == ed1 + 1, "right adjacent")
         .when((st2 <= st1) & (ed1 <= ed2), "cover").when((st1 < st2) & (ed2 <= ed1), "insider").when((st1 == st2) & (ed2 < ed1), "insider")
-        .when((st2 < st1) & (ed2 < ed1), "left intersection").otherwise("right intersection")
+        .when((st2 < st1) & (ed2 < ed1), "left intersaction").otherwise("right intersaction")
     )
 
 
@@ -147,7 +145,9 @@ def _text(words: list[str], span: Span | None) -> str:
 
 
 def extract(words: list[str], tags: list[str], phrases: list[Span]) -> list[dict[str, str]]:
-    """The frames of one sentence, by the place of their verbs."""
+    """The frames of one sentence, by the place of their verbs; none if it has a foreign word."""
+    if any(t.startswith("FW") for t in tags):
+        return []
     code = "".join(_CODE_OF.get(t, "X") for t in tags)
     verbs: list[list[int]] = []
     for s in _python_spans(code):
@@ -181,10 +181,9 @@ def frames(sentences: DataFrame, phrases: str = "phrases") -> DataFrame:
     The arguments of a verb depend on each other's choices, which as one expression would be worked out again for every
     use; one Arrow pass does each sentence once.
     """
-    rows = sentences.where(~has_foreign(F.col("tokens")))
     part = lambda column, field: F.transform(column, lambda x: x[field])
     found = _extract(part("tokens", "word"), part("tokens", "tag"), part(phrases, "st"), part(phrases, "ed"))
-    return rows.withColumn("frames", found).where(F.size("frames") > 0)
+    return sentences.withColumn("frames", found).where(F.size("frames") > 0)
 
 
 def frame_text(frame: Column) -> Column:

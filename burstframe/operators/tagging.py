@@ -47,14 +47,17 @@ def tokens(sentence: Column) -> Column:
     return F.regexp_extract_all(sentence, F.lit(r"https?://\S+|[@#]\w+|[\p{L}\p{N}_]+(?:['’-][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]"), F.lit(0))
 
 
-def _map(table: dict[str, str], invert: bool) -> Column:
-    pairs = [(w, tag) if invert else (tag, w) for tag, words in table.items() for w in words.split(" ")]
-    return F.create_map(*(F.lit(x) for p in pairs for x in p))
+def lookup(table: dict[str, str], word: Column) -> Column:
+    """The key whose list of words holds the word, else null. Long lists are hashed sets in the plan."""
+    found = F.lit(None).cast("string")
+    for key, words in reversed(table.items()):
+        found = F.when(word.isin(words.split(" ")), key).otherwise(found)
+    return found
 
 
 def tag_of(word: Column) -> Column:
     low = F.lower(word)
-    known = F.try_element_at(_map(LEXICON, invert=True), low)
+    known = lookup(LEXICON, low)
     shape = (
         F.when(word.startswith("http"), "URL")
         .when(word.startswith("@") & (F.length(word) > 1), "USR")
@@ -84,14 +87,15 @@ def tag_sentence(sentence: Column) -> Column:
 
 
 def tagged_sentences(texts: DataFrame, *keys: str) -> DataFrame:
-    """(keys..., sentence, tokens): a row for each sentence of (keys..., text) with a token. Whole texts are tagged."""
+    """(keys..., sentence, tokens): a row for each sentence of (keys..., text); a sentence is not blank and so has a token. Whole
+    texts are tagged."""
     rows = texts.where("text IS NOT NULL").select(*keys, F.posexplode(sentences(F.col("text"))).alias("sentence", "line"))
-    return rows.select(*keys, "sentence", tag_sentence(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    return rows.select(*keys, "sentence", tag_sentence(F.col("line")).alias("tokens"))
 
 
 def coarse_tag(tag: Column) -> Column:
     """The coarse tag; unmapped tags stay."""
-    return F.coalesce(F.try_element_at(_map(COARSE, invert=True), tag), tag)
+    return F.coalesce(lookup(COARSE, tag), tag)
 
 
 def has_foreign(tokens_: Column) -> Column:

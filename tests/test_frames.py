@@ -51,7 +51,7 @@ def test_merge_keeps_touching_apart(spark):
 @pytest.mark.parametrize(
     ("a", "b", "name"),
     [((5, 6), (0, 3), "left"), ((5, 6), (0, 4), "left adjacent"), ((0, 1), (3, 4), "right"), ((0, 1), (2, 4), "right adjacent"), ((2, 3), (1, 4), "cover"),
-     ((1, 5), (2, 3), "insider"), ((2, 5), (1, 3), "left intersection"), ((1, 3), (2, 5), "right intersection")],
+     ((1, 5), (2, 3), "insider"), ((2, 5), (1, 3), "left intersaction"), ((1, 3), (2, 5), "right intersaction")],
 )
 def test_relations(spark, a, b, name):
     df = spark.createDataFrame([(a, b)], "a struct<st: int, ed: int>, b struct<st: int, ed: int>")
