@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstframe.operators import burst, chunking, events, frames, tagging
-from burstframe.plans.tweets import placed_tweets
+from burstframe.plans.tweets import PLACED, placed_tweets
 from burstframe.session import table
 
 
@@ -87,4 +87,37 @@ QUERIES = {
     f.__name__: f
     for f in (tag_codes, verb_spans, merged_spans, span_relations, np_chunks, frame_rows, frame_elements, noise_words, verb_lexicon, frame_bursts)
 }
-ORACLE: dict[str, str] = {}
+_TOKEN = r"https?://\S+|[@#]\w+|[\p{L}\p{N}_]+(?:[''’-][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]"
+
+
+def _listed(table: dict[str, str], word: str) -> str:
+    return " ".join(f"WHEN {word} IN ({', '.join(chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in words.split(' '))}) THEN '{key}'" for key, words in table.items())
+
+
+_TAG = rf"""CASE WHEN starts_with(w, 'http') THEN 'URL' WHEN starts_with(w, '@') AND length(w) > 1 THEN 'USR' WHEN starts_with(w, '#') AND length(w) > 1 THEN 'HT'
+    WHEN lower(w) = 'rt' THEN 'RT' WHEN w = ',' THEN ',' WHEN w IN (';', ':') THEN ':' WHEN w IN ('.', '!', '?', '…') THEN '.' WHEN w = '(' THEN '-LRB-' WHEN w = ')' THEN '-RRB-'
+    WHEN regexp_full_match(w, '[^\p{{L}}\p{{N}}_]+') THEN 'SYM' WHEN regexp_matches(w, '^[0-9]') THEN 'CD' WHEN regexp_matches(w, '[^ -~]') THEN 'FW'
+    {_listed(tagging.LEXICON, 'lower(w)')}
+    WHEN regexp_full_match(lower(w), '..+ing') THEN 'VBG' WHEN regexp_full_match(lower(w), '..+ed') THEN 'VBD' WHEN regexp_full_match(lower(w), '..+ly') THEN 'RB'
+    WHEN regexp_matches(w, '^[A-Z]') THEN 'NNP' WHEN regexp_full_match(lower(w), '..+[^s]s') THEN 'NNS' ELSE 'NN' END"""
+_TAGGED = rf"""lines AS (SELECT trim(unnest(regexp_split_to_array(regexp_replace(text, '([.!?]+)\s+', '\1' || chr(10), 'g'), '\n+'))) AS line FROM ({PLACED}) WHERE text IS NOT NULL),
+tagged AS (SELECT list_transform(regexp_extract_all(line, '{_TOKEN}'), lambda w: {_TAG}) AS tags FROM lines WHERE line <> '')"""
+_CODES = f"""{_TAGGED},
+codes AS (SELECT DISTINCT array_to_string(list_transform(tags, lambda t: CASE {_listed(frames.CODES, 't')} ELSE 'X' END), '') AS code FROM tagged)"""
+
+
+def _found(pattern: str) -> str:
+    return f"""SELECT code, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS st, length(found[i]) AS n
+        FROM (SELECT code, regexp_split_to_array(code, '{pattern}') AS gaps, regexp_extract_all(code, '{pattern}') AS found FROM codes), LATERAL (SELECT unnest(range(1, len(found) + 1)) AS i)"""
+
+
+_SPANS = f"""{_CODES},
+spans AS (SELECT code, st::INT AS st, max(st + n - 1)::INT AS ed FROM ({_found(frames.SHORT)} UNION ALL {_found(frames.LONG)}) GROUP BY code, st),
+islands AS (SELECT code, st, ed, sum(CASE WHEN st > before OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY code ORDER BY st) AS k
+    FROM (SELECT *, max(ed) OVER (PARTITION BY code ORDER BY st ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans))"""
+
+ORACLE = {
+    "tag_codes": f"WITH {_CODES} SELECT code FROM codes",
+    "verb_spans": f"WITH {_SPANS} SELECT code, st, ed FROM spans",
+    "merged_spans": f"WITH {_SPANS} SELECT code, min(st) AS st, max(ed) AS ed FROM islands GROUP BY code, k",
+}

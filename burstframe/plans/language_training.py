@@ -218,6 +218,9 @@ grid AS (SELECT term, lang, coalesce(n, 0) AS n FROM features CROSS JOIN prior L
 ptc AS (SELECT term, lang, ln(1 + n) - ln(count(*) OVER (PARTITION BY lang) + sum(n) OVER (PARTITION BY lang)) AS logp FROM grid)"""
 
 ORACLE = {
+    "corpus_lines": """SELECT domain, lang, doc || '#' || (i - 1) AS doc, length(l[i])::INT AS n_chars
+        FROM (SELECT domain, lang, doc, string_split(regexp_replace(text, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS l FROM corpus_item), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)
+        WHERE trim(l[i]) <> ''""",
     "lang_coverage": "SELECT lang, count(DISTINCT domain) AS n_domains FROM corpus_item GROUP BY lang",
     "lang_dist": f"WITH {_CORPUS} SELECT 'lang' AS kind, lang AS class, count(*) AS n_docs FROM corpus GROUP BY lang UNION ALL SELECT 'domain', domain, count(*) FROM corpus GROUP BY domain",
     "min_domain_prune": f"""WITH {_CORPUS}, kept AS (SELECT * FROM corpus WHERE domain IN ('news', 'forum', 'wiki', 'chat'))

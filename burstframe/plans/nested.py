@@ -52,7 +52,19 @@ elements AS (
     FROM (SELECT *, unnest(range(1, len(items) + 1)) AS pos FROM lists)
     WHERE json_type(items[pos]) = 'OBJECT' AND trim(items[pos]->>('$.' || field), ' \\t\\n\\r') <> '')"""
 
+_PLACES = _TWEETS[: _TWEETS.index("tweets AS (")] + """places AS (
+    SELECT day, line_no, j, NULL::VARCHAR AS parent_id, NULL::VARCHAR AS relation, 0 AS depth FROM lines WHERE j->>'$.id_str' IS NOT NULL
+    UNION ALL
+    SELECT day, line_no, n.j, parent_id, n.relation, depth + 1 FROM (
+        SELECT day, line_no, j->>'$.id_str' AS parent_id, depth,
+               unnest([{'relation': 'retweeted_status', 'j': j->'$.retweeted_status'}, {'relation': 'quoted_status', 'j': j->'$.quoted_status'}]) AS n
+        FROM places WHERE json_type(j) = 'OBJECT'))"""
+_FIELDS = ", ".join(f"j->>'$.{f}' AS {f}" for f in nested.TWEET_FIELDS[1:])
+_USER_FIELDS = ", ".join(f"j->'$.user'->>'$.{f}' AS {f}" for f in nested.USER_FIELDS[1:])
+
 ORACLE = {
     "p5_found": f"WITH RECURSIVE {_TWEETS} SELECT day, line_no, tweet_id, kind, pos FROM elements",
     "p5_elements": f"WITH RECURSIVE {_TWEETS} SELECT day, line_no, tweet_id, kind, pos, value FROM elements",
+    "p5_tweets": f"WITH RECURSIVE {_PLACES} SELECT DISTINCT day, line_no, j->>'$.id_str' AS tweet_id, parent_id, relation, depth, j->'$.user'->>'$.id_str' AS user_id, {_FIELDS} FROM places WHERE json_type(j) = 'OBJECT' AND j->>'$.id_str' IS NOT NULL",
+    "p5_users": f"WITH RECURSIVE {_PLACES} SELECT DISTINCT day, line_no, j->>'$.id_str' AS tweet_id, j->'$.user'->>'$.id_str' AS user_id, {_USER_FIELDS} FROM places WHERE json_type(j) = 'OBJECT' AND (j->>'$.id_str') IS NOT NULL AND (j->'$.user'->>'$.id_str') IS NOT NULL",
 }
