@@ -32,7 +32,9 @@ def stream_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return st.run_available(st.chunked_lines(_stream(spark, d, "raw_tweet").where("text IS NOT NULL").select("id_str", "text"), F.col("text")).select("id_str", "line"))
+    """Every sentence of every row with a text, as np_chunks has them."""
+    rows = _stream(spark, d, "raw_tweet").where("text IS NOT NULL").select("id_str", "text")
+    return st.run_available(st.chunked_lines(rows, F.col("text")).select("id_str", "sentence", "line"))
 
 
 QUERIES = {f.__name__: f for f in (stream_dedup, stream_day_window, stream_language, stream_chunks)}

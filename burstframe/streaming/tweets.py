@@ -58,9 +58,10 @@ def in_languages(tweets: DataFrame, langs: list[str]) -> DataFrame:
 
 
 def chunked_lines(lines: DataFrame, text: Column) -> DataFrame:
-    """Adds line, the bracketed first sentence of each text; a stateless map."""
-    tokens = tagging.tag_sentence(F.coalesce(F.get(tagging.sentences(text), F.lit(0)), F.lit("")))
-    tagged = lines.withColumn("tokens", tokens)
+    """Adds sentence and line, the number and the bracketed form of each sentence of a text; a stateless map. A text
+    without sentences keeps one row, whose sentence is null and whose line is empty."""
+    split = lines.select("*", F.posexplode_outer(tagging.sentences(text)).alias("sentence", "line"))
+    tagged = split.withColumn("tokens", tagging.tag_sentence(F.coalesce("line", F.lit(""))))
     chunked = tagged.withColumn("spans", chunking.np_chunks(F.col("tokens")))
     return chunked.withColumn("line", chunking.bracketed(F.col("tokens"), F.col("spans"))).drop("tokens", "spans")
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from burstframe.operators import chunking, tagging
 from burstframe.streaming import tweets as st
 from test_events import brute_slices
 
@@ -31,3 +32,12 @@ def test_days_and_chunks(spark, tmp_path):
     assert [(str(r.day), r.n) for r in st.run_available(st.daily_counts(stream, delay="1 day")).collect()] == [("2013-01-01", 2)]
     lines = [r.line for r in st.run_available(st.chunked_lines(stream, F.col("text")).select("line")).collect()]
     assert "[ The/DT dog/NN ] ran/VBD ./." in lines
+
+
+def test_chunks_of_all_sentences(spark, tmp_path):
+    df = spark.createDataFrame([("1", "The dog ran. A cat sat!\nWe saw it"), ("2", "\n\n"), ("3", "No end")], "id_str string, text string")
+    got = [tuple(r) for r in st.run_available(st.chunked_lines(source(spark, tmp_path, df), F.col("text")).select("id_str", "sentence", "line")).collect()]
+    batch = tagging.tagged_sentences(df, "id_str").withColumn("phrases", chunking.np_chunks(F.col("tokens")))
+    want = [tuple(r) for r in batch.select("id_str", "sentence", chunking.bracketed(F.col("tokens"), F.col("phrases"))).collect()]
+    assert len(want) == 4 and sorted(want) == sorted(r for r in got if r[1] is not None)
+    assert [r for r in got if r[1] is None] == [("2", None, "")]
