@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from burstframe.llm import confusables
 from burstframe.llm.confusables import consistent, consistent_token
+from burstframe.session import cut
 
 KINDS = ("email", "id_number", "phone", "street", "person")
 #: Surnames that are learned at most, and users that must bear one.
@@ -264,9 +265,10 @@ def learn_names(users: DataFrame, given_names: DataFrame, corpus: DataFrame) ->
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("val", pa.string())]))
 
 
-def find_entities(texts: DataFrame, names: Names) -> DataFrame:
+def find_entities(texts: DataFrame, names: Names, all_rows: bool = False) -> DataFrame:
     """(src, rec_id, text, found) of the rows of (src, rec_id, text) with finds; found has kind, start, end and val in
-    the order of the text, start and end counting characters of the stored text."""
+    the order of the text, start and end counting characters of the stored text. With all_rows the others have an empty
+    found."""
     shared = texts.sparkSession.sparkContext.broadcast(names)  # bounded by MAX_SURNAMES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +277,7 @@ def find_entities(texts: DataFrame, names: Names) -> DataFrame:
             rows, kept = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 own = find(text, known) if text else []
-                if own:
+                if own or all_rows:
                     rows.append([{"kind": kind, "start": start, "end": end, "val": val} for kind, start, end, val in own])
                     kept.append(i)
             part = batch.take(pa.array(kept, pa.int64()))
@@ -376,12 +378,15 @@ def surrogates(entities: DataFrame, names: Names, key: bytes, rounds: int = 3) -
     return known.select("kind", "form", "attempt")
 
 
-def redact(texts: DataFrame, names: Names, key: bytes = b"burstframe") -> DataFrame:
-    """(src, rec_id, placeholder_text, surrogate_text) of the distinct records with finds.
+def redact(texts: DataFrame, names: Names, key: bytes = b"burstframe", all_records: bool = False) -> DataFrame:
+    """(src, rec_id, placeholder_text, surrogate_text) of the distinct records with finds, or of all_records: texts
+    without finds are unchanged then, and null ones null. Of different texts of one record the greatest counts.
 
     In placeholder_text each find is [KIND]; in surrogate_text it is its surrogate.
     """
-    found = find_entities(texts, names).dropDuplicates(["src", "rec_id"])
+    records = texts.where("rec_id IS NOT NULL").groupBy("src", "rec_id").agg(F.max("text").alias("text"))
+    searched = cut(find_entities(records, names, all_records))
+    found = searched.where(F.size("found") > 0)
     shared = texts.sparkSession.sparkContext.broadcast(names)
 
     @F.pandas_udf("string")
@@ -406,9 +411,11 @@ def redact(texts: DataFrame, names: Names, key: bytes = b"burstframe") -> DataFr
         return F.concat(done.out, F.substring("text", done.at + 1, F.length("text")))
 
     whole = found.select("src", "rec_id", "text").join(each, ["src", "rec_id"])
-    return whole.select(
+    done = whole.select(
         "src", "rec_id", build(lambda p: F.concat(F.lit("["), F.upper(p.kind), F.lit("]"))).alias("placeholder_text"), build(lambda p: p.new).alias("surrogate_text")
     )
+    as_is = searched.where(F.size("found") == 0).select("src", "rec_id", F.col("text").alias("placeholder_text"), F.col("text").alias("surrogate_text"))
+    return done.unionByName(as_is)
 
 
 def tweet_and_profile_texts(raw: DataFrame, users: DataFrame) -> DataFrame:

@@ -71,7 +71,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(*_personal(spark, d))
+    """Every tweet and profile, also those without personal data and those without a text."""
+    return pii.redact(*_personal(spark, d), all_records=True)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

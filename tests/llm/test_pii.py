@@ -60,6 +60,16 @@ def test_redaction(spark):
     assert pii.entity_rows(pii.find_entities(df.limit(0), NAMES)).count() == 0
 
 
+def test_redaction_of_all_records(spark):
+    rows = [("t", "1", "ask Nora Velova!"), ("t", "2", "nothing"), ("t", "3", None), ("t", "4", ""), ("u", "2", None), ("t", "2", "nothing"), ("t", "1", None), (None, None, "a@b.example")]
+    df = spark.createDataFrame(rows, "src string, rec_id string, text string")
+    out = [tuple(r) for r in pii.redact(df, NAMES, all_records=True).collect()]
+    assert len(out) == 5
+    both = {(s, i): (p, x) for s, i, p, x in out}
+    assert both[("t", "1")][0] == "ask [PERSON]!" and "Velova" not in both[("t", "1")][1]
+    assert {k: v for k, v in both.items() if k != ("t", "1")} == {("t", "2"): ("nothing", "nothing"), ("t", "3"): (None, None), ("t", "4"): ("", ""), ("u", "2"): (None, None)}
+
+
 def test_collisions_are_drawn_again(spark):
     entities = spark.createDataFrame([("phone", f"0{i}", f"0{i}") for i in range(10)], "kind string, form string, val string")
     drawn = pii.surrogates(entities, NAMES, b"k", rounds=1).collect()
