@@ -6,8 +6,9 @@ exact piece of the stored text. Persons need a surname: surnames are learned fro
 
 A surrogate is made from the entity by a keyed hash: digits stay digits and letters letters of the same case and script,
 a given name is replaced by one of the same language and hence script and, where the names tell it, gender, an email gets
-another local part at a reserved domain. The same entity gets the same surrogate everywhere. Surrogates that collide, or
-equal a found entity, are drawn again for all but the first entity in order, and checked again until none collide.
+another local part at a reserved domain (its own if that is reserved). The same entity gets the same surrogate
+everywhere. Surrogates that collide, or equal a found entity, are drawn again for all but the first entity in order, and
+checked again until none collide; late draws are longer, so that a full space of short ones does not end this.
 
 Null texts stay null, texts without finds are unchanged. Repeated rows count once. An overlap goes to the earlier kind of
 email, id_number, phone, street, person.
@@ -306,8 +307,12 @@ def canonical(kind: str, val: str) -> str:
 _CLASSES = ("aeiou", "bcdfghjklmnprstvz", "аеиоу", "бвгдзклмнпрст")
 
 
-def _shaped(text: str, key: bytes, what: str) -> str:
-    """Every digit by a digit, every letter by one of its kind, script and case; all else stays."""
+def _shaped(text: str, key: bytes, what: str, longer: int = 0) -> str:
+    """Every digit by a digit, every letter by one of its kind, script and case; all else stays. The last digit or letter
+    is followed by `longer` more of its kind."""
+    if longer:
+        last = max((i for i, c in enumerate(text) if c.isalnum()), default=-1)
+        text = text[: last + 1] + (text[last] if last >= 0 else "x") * longer + text[last + 1 :]
     out, block, k = [], b"", 0
     for i, c in enumerate(text):
         if i % 32 == 0:
@@ -325,17 +330,37 @@ def _shaped(text: str, key: bytes, what: str) -> str:
     return "".join(out)
 
 
-def surrogate(kind: str, val: str, key: bytes, attempt: int, names: Names) -> str:
-    """The replacement of a spelling; spellings with one canonical form and attempt get the same, in their own format."""
+_RESERVED = re.compile(r"(?:.*\.)?(?:example|test|invalid|localhost|example\.(?:com|net|org))")
+_DOT = re.compile(r"(\s?[\[(]dot[\])]\s?|\sDOT\s|[.．])")
+
+
+def _domain(domain: str, shown: str, key: bytes) -> str:
+    """A reserved domain for the canonical one, with the dots of the stored one; the same for all addresses at it."""
+    if _RESERVED.fullmatch(domain):
+        return shown
+    labels = domain.split(".")
+    new = [_shaped(x, key, f"domain|{k}|{domain}") for k, x in enumerate(labels[:-1])] + ["example"]
+    parts = _DOT.split(shown)
+    if len(parts) != 2 * len(labels) - 1:
+        return ".".join(new)
+    parts[::2] = new
+    return "".join(parts)
+
+
+def surrogate(kind: str, val: str, key: bytes, attempt: int, names: Names, longer: int = 0) -> str:
+    """The replacement of a spelling; spellings with one canonical form and attempt get the same, in their own format.
+    It has `longer` more digits or letters than the spelling's shape."""
     what = f"{kind}|{attempt}|{canonical(kind, val)}"
     if kind == "email":
         at = re.search(r"\s?(?:@|＠|[(\[]at[)\]]|\bAT\b)\s?", val)
-        cut = at.start() if at else len(val)
-        return _shaped(val[:cut], key, what) + val[cut:]
+        if not at:
+            return _shaped(val, key, what, longer)
+        return _shaped(val[: at.start()], key, what, longer) + at[0] + _domain(canonical(kind, val).partition("@")[2], val[at.end() :], key)
     if kind == "phone":
         keep = re.match(r"\+\d{1,2}|\(?0?", val)[0]  # type: ignore[index]
-        return keep + _shaped(val[len(keep) :], key, what)
+        return keep + _shaped(val[len(keep) :], key, what, longer)
     if kind == "person":
+        has_surname = any(len(w) > 1 and w.lower() not in names.given for w in re.findall(r"[^\W\d_]+", val))
 
         def name(m: re.Match[str]) -> str:
             word = m[0].lower()
@@ -343,39 +368,55 @@ def surrogate(kind: str, val: str, key: bytes, attempt: int, names: Names) -> st
                 alike = sorted(g for g, lang in names.given.items() if lang == names.given[word] and (g[-1] == "a") == (word[-1] == "a") and g != word)
                 new = alike[hmac.new(key, f"{what}|{word}".encode(), hashlib.sha256).digest()[0] % len(alike)] if alike else _shaped(word, key, what)
             else:
-                new = _shaped(word, key, f"{attempt}|{word}")
+                new = _shaped(word, key, f"{attempt}|{word}", longer if len(word) > 1 else 0)
+            if word in names.given and not has_surname:
+                new = _shaped(new, key, f"{attempt}|{word}", longer)
             return new.upper() if m[0].isupper() and len(m[0]) > 1 else new.capitalize() if m[0][0].isupper() else new
 
         return re.sub(r"[^\W\d_]+", name, val)
     if kind == "street":
         kept = r"(?i:lane|ln|road|rd|street|st|avenue|ave|drive|close|court|row|boulevard|blvd|terrace|calle|c|plaza|avenida|paseo|rue|bd|chemin|impasse|place|quai|de|del|des|du|la|los|las|am|nº)"
-        return re.sub(rf"\b(?!{kept}\b)\w+?(?=(?:straße|strasse|str|gasse|weg|allee)?\b)", lambda m: _shaped(m[0], key, f"{what}|{m[0].lower()}"), val)
-    return _shaped(val, key, what)
+        return re.sub(rf"\b(?!{kept}\b)\w+?(?=(?:straße|strasse|str|gasse|weg|allee)?\b)", lambda m: _shaped(m[0], key, f"{what}|{m[0].lower()}", longer), val)
+    return _shaped(val, key, what, longer)
 
 
 def surrogates(entities: DataFrame, names: Names, key: bytes, rounds: int = 3) -> DataFrame:
-    """(kind, form, attempt) for (kind, form, val): the draw whose surrogate no other entity has and no entity is.
+    """(kind, form, attempt, longer) for (kind, form, val): the draw whose surrogates no other entity has and no entity is,
+    for every spelling.
 
-    In each round the entities that share a surrogate, all but the first by form, and those whose surrogate is itself an
-    entity, draw again. Groups are as small as collisions are rare.
+    The entities that share a surrogate, all but the first by form, and those whose surrogate is itself an entity or was
+    given away before, draw again until there are none. After `rounds` draws in its own shape an entity's next ones are
+    longer, by one more each, so that the draws come to an end. Only what collides is drawn again; each draw is written
+    once.
     """
     shared = entities.sparkSession.sparkContext.broadcast(names)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            drawn = [canonical(k, surrogate(k, v, key, a, shared.value)) for k, v, a in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.string())], ["kind", "form", "val", "attempt", "drawn"])
-
-    known = entities.groupBy("kind", "form").agg(F.min("val").alias("val")).withColumn("attempt", F.lit(0))
-    forms = known.select("kind", F.col("form").alias("drawn")).withColumn("is_entity", F.lit(1))
-    for _ in range(rounds):
-        drawn = known.select("kind", "form", "val", "attempt").mapInArrow(draw, "kind STRING, form STRING, val STRING, attempt INT, drawn STRING")
-        firsts = drawn.groupBy("kind", "drawn").agg(F.min("form").alias("first"))
-        known = drawn.join(firsts, ["kind", "drawn"]).join(forms, ["kind", "drawn"], "left")
-        known = known.withColumn("attempt", F.col("attempt") + F.when((F.col("form") != F.col("first")) | F.col("is_entity").isNotNull(), 1).otherwise(0))
-        known = known.select("kind", "form", "val", "attempt")
-    return known.select("kind", "form", "attempt")
+            rows = zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True)
+            drawn = [canonical(k, surrogate(k, v, key, a, shared.value, more)) for k, v, a, more in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.string())], ["kind", "form", "val", "attempt", "longer", "drawn"])
+
+    left = entities.select("kind", "form", "val").distinct().select("*", F.lit(0).alias("attempt"), F.lit(0).alias("longer"))
+    taken = cut(entities.select("kind", F.col("form").alias("drawn")).distinct())
+    done: DataFrame | None = None
+    attempt = 0
+    while True:
+        drawn = cut(left.mapInArrow(draw, "kind STRING, form STRING, val STRING, attempt INT, longer INT, drawn STRING"))
+        pairs = drawn.select("kind", "form", "drawn").distinct()
+        firsts = pairs.groupBy("kind", "drawn").agg(F.min("form").alias("first"))
+        used = taken.withColumn("used", F.lit(True))
+        again = pairs.join(firsts, ["kind", "drawn"]).join(used, ["kind", "drawn"], "left").where("form <> first OR used").select("kind", "form").distinct()
+        marked = cut(drawn.join(again.withColumn("again", F.lit(True)), ["kind", "form"], "left"))
+        settled = marked.where("again IS NULL")
+        own = settled.select("kind", "form", "attempt", "longer").distinct()
+        done = own if done is None else done.unionByName(own)
+        left = marked.where("again")
+        if left.isEmpty():
+            return done
+        taken = taken.unionByName(settled.select("kind", "drawn").distinct())
+        attempt += 1
+        left = left.select("kind", "form", "val", F.lit(attempt).alias("attempt"), F.lit(max(0, attempt - rounds + 1)).alias("longer"))
 
 
 def redact(texts: DataFrame, names: Names, key: bytes = b"burstframe", all_records: bool = False) -> DataFrame:
@@ -394,12 +435,12 @@ def redact(texts: DataFrame, names: Names, key: bytes = b"burstframe", all_recor
         return pd.Series([canonical(k, v) for k, v in zip(kind, val, strict=True)], dtype=object)
 
     @F.pandas_udf("string")
-    def replaced(kind: pd.Series, val: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(k, v, key, int(a), shared.value) for k, v, a in zip(kind, val, attempt, strict=True)], dtype=object)
+    def replaced(kind: pd.Series, val: pd.Series, attempt: pd.Series, longer: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(k, v, key, int(a), shared.value, int(m)) for k, v, a, m in zip(kind, val, attempt, longer, strict=True)], dtype=object)
 
     rows = found.select("src", "rec_id", F.explode("found").alias("x")).select("src", "rec_id", "x.*").withColumn("form", form_of("kind", "val"))
     drawn = surrogates(rows.select("kind", "form", "val"), names, key)
-    rows = rows.join(drawn, ["kind", "form"]).withColumn("new", replaced("kind", "val", "attempt"))
+    rows = rows.join(drawn, ["kind", "form"]).withColumn("new", replaced("kind", "val", "attempt", "longer"))
     each = rows.groupBy("src", "rec_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "new"))).alias("parts"))
 
     def build(piece: Callable[[Column], Column]) -> Column:

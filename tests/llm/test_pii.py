@@ -76,6 +76,21 @@ def test_collisions_are_drawn_again(spark):
     assert len(drawn) == 10 and any(r.attempt for r in drawn)  # ten forms of one free digit must collide
 
 
+def test_no_surrogate_is_shared(spark):
+    rows = [("phone", f"0{i}", f"0{i}") for i in range(10)] + [("street", f"{i} ab lane", f"{i} Ab Lane") for i in range(10)] + [("person", "n velova", "N. Velova"), ("email", "a@b.example", "a@b.example")]
+    drawn = pii.surrogates(spark.createDataFrame(rows, "kind string, form string, val string"), NAMES, b"k").collect()
+    vals = {(k, f): v for k, f, v in rows}
+    made = [(r.kind, pii.canonical(r.kind, pii.surrogate(r.kind, vals[r.kind, r.form], b"k", r.attempt, NAMES, r.longer))) for r in drawn]
+    assert len(made) == len(set(made)) == len(rows) and not set(made) & set(vals)
+
+
+def test_personal_domains_are_replaced():
+    make = lambda val: pii.surrogate("email", val, b"k", 0, NAMES)
+    assert make("nora@velova.de").endswith(".example") and "velova" not in make("nora@velova.de")
+    assert make("nora (at) velova [dot] de").endswith(" [dot] example")
+    assert make("nora@velova.de").split("@")[1] == make("rose@velova.de").split("@")[1]
+
+
 def test_learned_names(spark):
     users = spark.createDataFrame([("1", "Nora Velova"), ("2", "Rose Velova"), ("3", "Nora Once"), ("4", "Vaesseby Radio"), ("5", "Nora Radio"), ("6", None), ("1", "Nora Velova")], "id_str string, name string")
     given = spark.createDataFrame([("Nora", "en"), ("Rose", "en"), (None, None)], "given_name string, lang string")
