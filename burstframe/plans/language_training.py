@@ -12,7 +12,7 @@ from burstframe.operators import langid as li
 from burstframe.plans.tweets import FIRST, first_rows
 from burstframe.session import cut, table
 
-ORDERS, PER_ORDER, PER_LANG = 3, 2000, 50
+ORDERS, PER_ORDER, PER_LANG = li.MAX_ORDER, li.TOKENS_PER_ORDER, li.FEATURES_PER_LANG
 
 
 def grams(text: Column) -> Column:

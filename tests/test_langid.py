@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstframe.operators import langid as li
+from burstframe.plans import language_training as training
 
 CORPUS = "doc string, domain string, lang string, text string"
 
@@ -89,3 +90,11 @@ def test_english_tweets(spark):
     rows = [("1", "en", []), ("2", None, [("a", "en")] * 4 + [("b", "de")]), ("3", "de", [("a", "en"), ("b", "de")]), ("4", None, [])]
     df = spark.createDataFrame(rows, "id string, lang string, words array<struct<word: string, lang: string>>")
     assert {r.id for r in li.english_tweets(df).collect()} == {"1", "2"}
+
+
+def test_queries_count_all_orders(spark, tmp_path):
+    docs = [("1", "a", "en", "the cat"), ("2", "b", "en", "the dog"), ("3", "a", "de", "der hünd"), ("4", "b", "de", "abc")]
+    spark.createDataFrame(docs, CORPUS).write.parquet(str(tmp_path / "corpus_item.parquet"))
+    want = Counter((g.hex(), d[1]) for d in docs for g in set(brute_grams(d[3].encode(), 4)))
+    assert {(r.term, r["class"]): r.n for r in training.ngram_df(spark, str(tmp_path)).collect()} == want
+    assert (training.ORDERS, training.PER_ORDER, training.PER_LANG) == (4, 15000, 300)
