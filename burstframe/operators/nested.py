@@ -1,8 +1,8 @@
 """Nested tweet lines as flat tables of tweets, users and list elements, joined by (day, line_no, tweet_id).
 
 A line counts if it is one whole JSON object with a top-level id_str; headers, broken lines, nulls and other JSON are
-left out. Its tweets are gathered in one array by nested transforms that hand the keys of their ancestors down, and
-every target table is one inline over that array: no join and no shuffle. Sub-documents are kept as JSON text between
+left out. Its tweets are gathered in one array by a fold of nested transforms that hand the keys of their ancestors
+down, level by level, and every target table is one inline over that array: no join and no shuffle. Sub-documents are kept as JSON text between
 the levels, so that an object, a string that holds one, and a number for an id are all read alike.
 
 Null, empty and missing lists give no elements, an element without a list is at position 0, and positions count every
@@ -29,26 +29,30 @@ _USER = ", ".join(f"{f} STRING" for f in USER_FIELDS)
 _STRICT = "map('allowSingleQuotes', 'false', 'columnNameOfCorruptRecord', 'broken')"
 
 
-def nesting_bound(lines: DataFrame) -> int:
-    """At most so many tweets lie inside each other in any line: the names of the nesting fields it holds, counted."""
-    return lines.agg(F.max(F.regexp_count("line", F.lit("|".join(NESTED))))).first()[0] or 0
+def _below(frontier: str) -> str:
+    """The tweets that lie directly in those of an array of places."""
+    inner = ", ".join(
+        f"named_struct('relation', '{name}', 'parent_id', x.t.id_str, 'depth', x.depth + 1, 't', from_json(x.t.{name}, '{_TWEET}', {_STRICT}))" for name in NESTED
+    )
+    return f"flatten(transform({frontier}, x -> filter(array({inner}), y -> y.t IS NOT NULL)))"
 
 
-def _nested(name: str) -> str:
-    return f"named_struct('relation', '{name}', 'parent_id', x.t.id_str, 'depth', x.depth + 1, 't', from_json(x.t.{name}, '{_TWEET}', {_STRICT}))"
+def tweet_arrays(lines: DataFrame) -> DataFrame:
+    """(day, line_no, tweets): all tweets of each line, however deep they nest.
 
-
-def tweet_arrays(lines: DataFrame, levels: int | None = None) -> DataFrame:
-    """(day, line_no, tweets): all tweets of each line. levels: how deep they nest; counted in the data if not given."""
-    levels = nesting_bound(lines) if levels is None else levels
+    The tweets of one level hold those of the next, so each line folds over its own levels and stops growing at the last.
+    A line without a nested tweet has one level; in another each level has an opening brace of its own, so it has fewer
+    levels than braces. The plan is the same for all data, and no pass over the data comes before.
+    """
     wrapped = F.expr(f"from_json('{{\"v\":' || line || '}}', 'v STRUCT<{_TWEET.replace(' STRING', ': STRING')}>, broken STRING', {_STRICT})")
-    df = lines.where("ltrim(line) LIKE '{%'").select("day", "line_no", wrapped.alias("root"))
+    df = lines.where("ltrim(line) LIKE '{%'").select("day", "line_no", F.regexp_count("line", F.lit(r"\{|\\+u007[bB]")).alias("braces"), wrapped.alias("root"))
     df = df.where("root.broken IS NULL AND root.v.id_str IS NOT NULL")
-    df = df.select("day", "line_no", F.expr("array(named_struct('relation', CAST(NULL AS STRING), 'parent_id', CAST(NULL AS STRING), 'depth', 0, 't', root.v)) AS level_0"))
-    for k in range(levels):
-        below = f"flatten(transform(level_{k}, x -> filter(array({', '.join(map(_nested, NESTED))}), y -> y.t IS NOT NULL)))"
-        df = df.withColumn(f"level_{k + 1}", F.expr(below))
-    every = F.concat(*(f"level_{k}" for k in range(levels + 1)))
+    place = f"STRUCT<relation: STRING, parent_id: STRING, depth: INT, t: STRUCT<{_TWEET.replace(' STRING', ': STRING')}>>"
+    first = f"CAST(array(named_struct('relation', NULL, 'parent_id', NULL, 'depth', 0, 't', root.v)) AS ARRAY<{place}>)"
+    nests = " OR ".join(f"root.v.{name} IS NOT NULL" for name in NESTED)
+    levels = f"CASE WHEN {nests} THEN sequence(1, greatest(1, braces - 1)) ELSE CAST(array() AS ARRAY<INT>) END"
+    step = f"(acc, i) -> CASE WHEN size(acc.last) = 0 THEN acc ELSE named_struct('last', {_below('acc.last')}, 'all', concat(acc.all, acc.last)) END"
+    every = F.expr(f"aggregate({levels}, named_struct('last', {first}, 'all', CAST(array() AS ARRAY<{place}>)), {step}, acc -> concat(acc.all, acc.last))")
     return df.select("day", "line_no", F.filter(every, lambda x: x.t.id_str.isNotNull()).alias("tweets"))
 
 

@@ -46,3 +46,20 @@ def test_same_tweet_twice_in_a_line(spark):
     tweet = {"id_str": "1", "retweeted_status": inner, "quoted_status": inner}
     assert elements(spark, tweet, tweet) == [(0, "2", "urls", 0, "u"), (1, "2", "urls", 0, "u")]
     assert nested.users_table(nested.tweet_arrays(lines(spark, tweet))).count() == 1
+
+
+def test_plan_does_not_grow_with_the_data(spark):
+    """A line whose text names the nesting fields very often is a line like any other."""
+    text = '"retweeted_status": {"quoted_status": {' * 1000
+    tweet = {"id_str": "1", "text": text, "entities": {"urls": [{"url": "u"}]}}
+    held = {"id_str": "2", "retweeted_status": dict(tweet), "quoted_status": None}
+    plain = nested.elements_table(nested.tweet_arrays(lines(spark, {"id_str": "1"})))
+    odd = nested.elements_table(nested.tweet_arrays(lines(spark, tweet, held)))
+    assert sorted(tuple(r)[1:3] for r in odd.collect()) == [(0, "1"), (1, "1")]
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(plain) == size(odd)
+
+
+def test_nested_tweets_as_strings(spark):
+    inner = json.dumps({"id_str": 2, "entities": {"urls": [{"url": "u"}]}, "quoted_status": json.dumps({"id_str": "3", "entities": {"symbols": {"text": "S"}}})})
+    assert elements(spark, {"id_str": "1", "retweeted_status": inner}) == [(0, "2", "urls", 0, "u"), (0, "3", "symbols", 0, "S")]
