@@ -38,26 +38,26 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return confusables.consistent_form(_values(spark, d).distinct(), "value", "form")
 
 
-def _fields(spark: SparkSession, d: str) -> DataFrame:
-    return terms.term_fields(terms.tweet_records(table(spark, d, "raw_tweet")))
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return terms.tweet_records(table(spark, d, "raw_tweet"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return terms.marked_terms(_fields(spark, d)).where("mark IS NOT NULL").select("field", "term", "mark")
+    return terms.marked_terms(_records(spark, d)).where("mark IS NOT NULL").select("field", "term", "mark")
 
 
 def p3_terms(spark: SparkSession, d: str) -> DataFrame:
-    return terms.marked_terms(_fields(spark, d))
+    return terms.marked_terms(_records(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "probe_tweet").select(F.col("tweet_id").alias("id"))
-    return terms.most_distinctive(terms.term_scores(_fields(spark, d), asked)).select(F.col("id").alias("tweet_id"), "term")
+    return terms.most_distinctive(terms.term_scores(terms.term_fields(_records(spark, d)), asked)).select(F.col("id").alias("tweet_id"), "term")
 
 
 def p4_scores(spark: SparkSession, d: str) -> DataFrame:
-    scores = terms.term_scores(_fields(spark, d))
-    return scores.select(F.col("id").alias("tweet_id"), "term", "tf", "n_records", F.round("z", 6).alias("z"))
+    scores = terms.term_scores(terms.term_fields(_records(spark, d)))
+    return scores.select(F.col("id").alias("tweet_id"), "term", "tf", "n_occurrences", "n_records", F.round("z", 6).alias("z"))
 
 
 def _personal(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Names]:
@@ -122,26 +122,26 @@ marks AS (
     SELECT *, n_records <= {terms.RARE_RECORDS} AS rare, n_records >= {terms.COMMON_SHARE} * total AS common
     FROM counts JOIN totals USING (field))"""
 _MARKED = """SELECT field, term, 'rare' AS mark FROM marks WHERE rare UNION ALL SELECT field, term, 'common' FROM marks WHERE common"""
+# The published formula (log-odds ratio with an informative Dirichlet prior): y are occurrences in the record (1) and in the
+# rest (2), n their sums, a the prior, which is in proportion to the collection's occurrences.
 _SCORES = f"""WITH {_FIELDS},
-held AS (SELECT term, n_records FROM counts WHERE field = 'text'),
-every AS (SELECT sum(n_records)::DOUBLE AS total FROM held),
-own AS (
-    SELECT o.id, o.term, count(*)::DOUBLE AS tf, any_value(len(f.terms))::DOUBLE AS n
-    FROM occurrences o JOIN fields f ON o.id = f.id AND f.field = 'text' WHERE o.field = 'text' GROUP BY o.id, o.term),
-known AS (
-    SELECT id, term, tf, n, n_records, greatest(n_records, tf) AS h, {terms.PRIOR_WEIGHT} * greatest(n_records, tf) AS a,
-           {terms.PRIOR_WEIGHT} * total AS b, total
-    FROM own JOIN held USING (term), every),
+words AS (SELECT term, n_occurrences, n_records FROM counts WHERE field = 'text'),
+record AS (SELECT id, term, count(*) AS y FROM occurrences WHERE field = 'text' GROUP BY id, term),
+sizes AS (SELECT id, sum(y) AS n FROM record GROUP BY id),
+both_sides AS (
+    SELECT id, term, y AS y1, n AS n1, n_occurrences, n_records, n_occurrences - y AS y2, (SELECT sum(n_occurrences) FROM words) - n AS n2,
+           {terms.PRIOR_WEIGHT}::DOUBLE * n_occurrences AS a, {terms.PRIOR_WEIGHT}::DOUBLE * (SELECT sum(n_occurrences) FROM words) AS a0
+    FROM record JOIN sizes USING (id) JOIN words USING (term)),
 scored AS (
-    SELECT id, term, tf, n_records,
-           (ln((tf + a) / (n + b - tf - a)) - ln((h - tf + a) / (total - n + b - h + tf - a))) / sqrt(1 / (tf + a) + 1 / (h - tf + a)) AS z
-    FROM known)"""
+    SELECT id, term, y1 AS tf, n_occurrences, n_records,
+           (ln((y1 + a) / (n1 + a0 - y1 - a)) - ln((y2 + a) / (n2 + a0 - y2 - a))) / sqrt(1 / (y1 + a) + 1 / (y2 + a)) AS z
+    FROM both_sides)"""
 
 ORACLE: dict[str, str] = {
     "p3_found": f"WITH {_FIELDS} {_MARKED}",
     "p3_terms": f"""WITH {_FIELDS} SELECT field, term, n_occurrences, n_records, m.mark
         FROM marks LEFT JOIN ({_MARKED}) m USING (field, term)""",
-    "p4_scores": f"{_SCORES} SELECT id AS tweet_id, term, tf::INT AS tf, n_records, round(z, 6) AS z FROM scored",
+    "p4_scores": f"{_SCORES} SELECT id AS tweet_id, term, tf::INT AS tf, n_occurrences, n_records, round(z, 6) AS z FROM scored",
     "p4_found": f"""{_SCORES} SELECT id AS tweet_id, arg_min(term, [row(-z, term)]) AS term
         FROM scored WHERE id IN (SELECT tweet_id FROM probe_tweet) GROUP BY id""",
 }

@@ -13,7 +13,7 @@ SCHEMA = "id_str string, text string, entities struct<hashtags: array<struct<tex
 
 def records(spark, rows):
     data = [(i, t, None if tags is None else ([(x,) if x is not False else None for x in tags],), "clash", "clash") for i, t, tags in rows]
-    return terms.term_fields(terms.tweet_records(spark.createDataFrame(data, SCHEMA)))
+    return terms.tweet_records(spark.createDataFrame(data, SCHEMA))
 
 
 def pieces(text):
@@ -25,7 +25,7 @@ def test_counts_against_brute_force(spark):
     words = ["a", "B", "b!", "...", "c-d", "é", "'x'", "\n", "\t", "#", "long" * 50]
     rows = [(str(i), " ".join(rng.choice(words) for _ in range(rng.randint(0, 9))), [rng.choice(["T", "u", "", None, " ", False]) for _ in range(rng.randint(0, 3))]) for i in range(60)]
     rows += [rows[0], (None, "lost", ["lost"]), ("n", None, None), ("e", "", [])]
-    got = {(r.field, r.term): (r.n_occurrences, r.n_records) for r in terms.term_counts(records(spark, rows)).collect()}
+    got = {(r.field, r.term): (r.n_occurrences, r.n_records) for r in terms.term_counts(terms.term_fields(records(spark, rows))).collect()}
     want = {}
     for field, read in (("text", lambda r: None if r[1] is None else pieces(r[1])), ("hashtags", lambda r: [t.lower() for t in r[2] or [] if t])):
         occurrences, held = Counter(), Counter()
@@ -47,18 +47,26 @@ def test_marks(spark):
 
 def test_scores(spark):
     rows = [(str(i), "the cat sat on the mat " + ("word" if i % 2 else "other"), None) for i in range(30)] + [("x", "the cat zig zig zig zag", None), ("y", "the zag", None), ("z", None, None), ("w", "", None)]
-    fields = records(spark, rows)
+    fields = terms.term_fields(records(spark, rows))
     asked = spark.createDataFrame([("x",), ("x",), ("z",), ("missing",)], "id string")
     best = {r.id: r.term for r in terms.most_distinctive(terms.term_scores(fields, asked)).collect()}
     assert best == {"x": "zig"}
     every = terms.term_scores(fields).collect()
-    held = Counter(t for r in rows if r[1] for t in set(pieces(r[1])))
+    held = Counter(t for r in rows if r[1] for t in pieces(r[1]))
+    spread = Counter(t for r in rows if r[1] for t in set(pieces(r[1])))
     total = sum(held.values())
     for r in every:
         own = pieces(dict((a, b) for a, b, _ in rows)[r.id])
-        tf, n = own.count(r.term), len(own)
-        h = max(held[r.term], tf)
-        a, b = terms.PRIOR_WEIGHT * h, terms.PRIOR_WEIGHT * total
-        delta = math.log((tf + a) / (n + b - tf - a)) - math.log((h - tf + a) / (total - n + b - h + tf - a))
-        assert r.z == pytest.approx(delta / math.sqrt(1 / (tf + a) + 1 / (h - tf + a))) and (r.tf, r.n_records) == (tf, held[r.term])
+        y1, n1, y2, n2 = own.count(r.term), len(own), held[r.term] - own.count(r.term), total - len(own)
+        a, a0 = terms.PRIOR_WEIGHT * held[r.term], terms.PRIOR_WEIGHT * total
+        delta = math.log((y1 + a) / (n1 + a0 - y1 - a)) - math.log((y2 + a) / (n2 + a0 - y2 - a))
+        assert r.z == pytest.approx(delta / math.sqrt(1 / (y1 + a) + 1 / (y2 + a)))
+        assert (r.tf, r.n_occurrences, r.n_records) == (y1, held[r.term], spread[r.term])
     assert len(every) == sum(len(set(pieces(r[1]))) for r in rows if r[1])
+
+
+def test_one_term_only(spark):
+    fields = terms.term_fields(records(spark, [("1", "zig zig", None), ("2", "zig", None)]))
+    assert {(r.id, r.tf, r.z) for r in terms.term_scores(fields).collect()} == {("1", 2, None), ("2", 1, None)}
+    assert terms.most_distinctive(terms.term_scores(fields)).count() == 2
+    assert terms.term_scores(fields.limit(0)).count() == 0
