@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from burstframe.operators import chunking, tagging
+from burstframe.session import shared_folder
 
 
 def deduplicated(tweets: DataFrame, key: str = "id_str", time: str = "received_at", delay: str = "14 days") -> DataFrame:
@@ -66,15 +65,9 @@ def chunked_lines(lines: DataFrame, text: Column) -> DataFrame:
     return chunked.withColumn("line", chunking.bracketed(F.col("tokens"), F.col("spans"))).drop("tokens", "spans")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under the machine's temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="streams-")
-
-
 def run_available(stream: DataFrame) -> DataFrame:
     """What a stream gives for all input that is there now, through a file sink."""
-    folder = shared_folder(stream.sparkSession)
+    folder = shared_folder(stream.sparkSession, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start()
     query.awaitTermination()
     if query.exception() is not None:  # pragma: no cover
