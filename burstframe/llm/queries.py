@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,19 +61,27 @@ def p4_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.select(F.col("id").alias("tweet_id"), "term", "tf", "n_occurrences", "n_records", F.round("z", 6).alias("z"))
 
 
-def _personal(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Names]:
+def _personal(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Names, DataFrame | None]:
     users = table(spark, d, "user_profile")
-    names = pii.learn_names(users, table(spark, d, "given_names"), table(spark, d, "corpus_item"))
-    return pii.tweet_and_profile_texts(table(spark, d, "raw_tweet"), users), names
+    names, surnames = pii.learn_names(users, table(spark, d, "given_names"), table(spark, d, "corpus_item"))
+    return pii.tweet_and_profile_texts(table(spark, d, "raw_tweet"), users), names, surnames
+
+
+def _key(spark: SparkSession) -> bytes:
+    """The key of the surrogates: what the session names, or one of this run only."""
+    named = spark.conf.get("spark.burstframe.surrogateKey", "")
+    return named.encode() if named else secrets.token_bytes(32)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.entity_rows(pii.find_entities(*_personal(spark, d)))
+    texts, names, surnames = _personal(spark, d)
+    return pii.entity_rows(pii.replacements(pii.find_entities(texts, names, surnames), names, _key(spark)))
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every tweet and profile, also those without personal data and those without a text."""
-    return pii.redact(*_personal(spark, d), all_records=True)
+    texts, names, surnames = _personal(spark, d)
+    return pii.redact(texts, names, _key(spark), surnames)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
