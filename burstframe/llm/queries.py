@@ -39,6 +39,10 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return confusables.consistent_form(_values(spark, d).distinct(), "value", "form")
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return confusables.lookalike_classes(_values(spark, d))
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return terms.tweet_records(table(spark, d, "raw_tweet"))
 
@@ -108,7 +112,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_segments, p2_found, p2_forms, p3_found, p3_terms, p4_found, p4_scores, p6_found, p6_redacted,
+        p1_found, p1_segments, p2_found, p2_forms, p2_classes, p3_found, p3_terms, p4_found, p4_scores, p6_found, p6_redacted,
         p7_ids, p8_containers, p8_report, p9_found, p9_sources,
     )
 }

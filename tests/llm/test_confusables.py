@@ -13,6 +13,10 @@ VALUES = "field string, id string, value string"
     [
         ("ＡＢｃ１", "ABc1"), ("oﬃce", "office"), ("é", "é"), ("a​b­c﻿", "abc"), ("a b　c", "a b c"), ("Νоrа", "Nora"),
         ("пoезд", "поезд"), ("сор", "cop"), ("plain I1l0O", "plain I1l0O"), ("Vaesseбy", "Vaesseбy"), ("", ""), (None, None), ("​", ""), ("É", "É"), ("E", "E"),
+        ("𝐇𝐞𝐥𝐥𝐨", "Hello"), ("Ꭺlice", "Alice"), ("ᴀʙᴄ", "ABC"), ("ⓐbc", "abc"), ("ꓮⲤ x", "AC x"), ("👨\u200d👩\u200d👧", "👨\u200d👩\u200d👧"), ("🏳\ufe0f\u200d🌈 a\u200db", "🏳\u200d🌈 ab"),
+        ("раура", "paypa"), ("привет раура", "привет раура"), ("привет paypa", "привет раура"), ("МАРИЯ и МАРТА", "МАРИЯ и МАРТА"), ("МАРИЯ a MAPTA", "МАРИЯ а МАРТА"),
+        ("ΜΑΡΙΑ", "MAPIA"), ("λόγος ΜΑΡΙΑ", "λόγος ΜΑΡΙΑ"), ("λόγος MAPIA", "λόγος ΜΑΡΙΑ"), ("привет hello", "привет hello"), ("он @cop http://x.y/cop пишет cop", "он @cop http://x.y/cop пишет сор"),
+        ("the cоp ест сор", "the cop ест сор"),
     ],
 )
 def test_forms(given, expected):
@@ -21,7 +25,7 @@ def test_forms(given, expected):
 
 def test_form_is_stable():
     rng = random.Random(3)
-    letters = "aеоpсйжñé ﬁＡ́‍οΝ1"
+    letters = "  aеоpсйжñéлh ﬁＡ́‍οΝ1"
     for _ in range(500):
         once = c.consistent("".join(rng.choice(letters) for _ in range(8)))
         assert c.consistent(once) == once
@@ -49,3 +53,23 @@ def test_pairs_against_brute_force(spark):
 def test_column_with_extras(spark):
     df = spark.createDataFrame([("1", "ｘ", "keep"), ("2", None, "keep"), ("3", "y", "keep")], "id string, value string, form_key string")
     assert [(r.form, r.form_key) for r in c.consistent_form(df, "value", "form").orderBy("id").collect()] == [("x", "keep"), (None, "keep"), ("y", "keep")]
+
+
+def test_twins_share_their_form():
+    """Any letters swapped for their look-alikes, anywhere: the form stays the same."""
+    rng = random.Random(5)
+    rows = {x: (latin, *others) for latin, others in c.LOOKALIKES.items() for x in (latin, *others)}
+    words = ["сор", "привет", "paypa", "hello", "Vaesse", "ёж", "λόγος", "MAPIA", "@cop", "a", "Иван", "ꓮ", "été"]
+    for _ in range(500):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+        twin = "".join(rng.choice(rows[x]) if x in rows and rng.random() < 0.5 else x for x in text)
+        assert c.consistent(text + " é") == c.consistent(twin + " é")
+        if not text.isascii() or text == twin:
+            assert c.consistent(text) == c.consistent(twin)
+
+
+def test_classes(spark):
+    rows = [("text", "1", "Fox"), ("text", "2", "Fοx"), ("text", "3", "Fox"), ("name", "4", "Fox"), ("text", "5", "x"), ("text", "6", None), ("text", "1", "Fox")]
+    df = spark.createDataFrame(rows, VALUES)
+    assert [tuple(r) for r in c.lookalike_classes(df).collect()] == [("text", "Fox", 2, 3)]
+    assert c.lookalike_classes(df.limit(0)).count() == 0
