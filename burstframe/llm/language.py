@@ -1,10 +1,13 @@
 """Languages of texts and of the segments of mixed ones, by prediction by partial matching.
 
-For each language a byte context tree of variable order is counted on labelled texts and then frozen. A symbol that a
-context has seen n times out of N, with d distinct symbols, costs -log2(n / (N + d)) bits there; an unseen one costs
-the escape -log2(d / (N + d)) and is coded by the next shorter context, down to a uniform byte. Contexts begin at the
-space before a word and the space after it is coded too, so a word's code length in every language is a fixed vector:
-it is worked out once for each distinct token that a worker meets, and texts are sums over their tokens.
+For each language of the labelled texts, and for all of them together, a byte context tree of variable order is counted
+and then frozen. A symbol that a context has seen n times out of N, with d distinct symbols, costs -log2(n / (N + d))
+bits there; an unseen one costs the escape -log2(d / (N + d)) and is coded by the next shorter context, down to a uniform
+byte. Contexts begin at the space before a word and the space after it is coded too, so a word's code length in every
+language is a fixed vector: it is worked out once for each distinct token that a worker meets, and texts are sums over
+their tokens. A language may also escape from a whole word, at FOREIGN_BITS, to the tree of all languages, as one strange
+name would else outweigh a clause; a token that repeats the one before is coded by that alone, at no cost that depends on
+the language. Within these rules code lengths are exact.
 
 A text is first given to the language that codes it shortest. Where a run of its words is coded shorter by another
 language, by more than two switches cost, the text is cut by the cheapest path through (word, language), with
@@ -13,6 +16,7 @@ Tags, mentions, links, numbers, emoji, laughter and pieces without letters carry
 what they look like.
 
 Null, empty and blank texts, and texts without a clause, have no segment. Repeated rows of a record give equal rows.
+Without labelled texts no text has a language.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ from burstframe.llm.confusables import consistent
 
 ORDER = 5
 SWITCH_BITS = 16.0
-#: A word speaks against a language with so many bits at most, or one strange name would outweigh a clause.
-WORD_BITS = 10.0
+#: Cost of coding a word by the tree of all languages: one word of 256 is no word of the language it stands in.
+FOREIGN_BITS = 8.0
 #: A text needs so many words to have a language.
 LEAST_WORDS = 3
 #: A segment of a mixed text is a clause if it has so many words, distinct ones known from the labelled texts of its
@@ -47,7 +51,6 @@ NAMES = {
     "en": "en eng english", "es": "es spa spanish castilian", "pt": "pt por portuguese", "fr": "fr fra fre french", "de": "de deu ger german",
     "it": "it ita italian", "nl": "nl nld dut dutch flemish", "id": "id ind in indonesian", "ru": "ru rus russian",
 }
-LANGUAGES = tuple(NAMES)
 _BY_NAME = {n: code for code, names in NAMES.items() for n in names.split()}
 _SKIP = re.compile(r"https?:\S*|www\.\S+|\S+@\S+\.\S+|\S*\[(?:at|dot)\]\S*|\(at\)|[\w+-]+(?:\.[\w-]+)+|[@#$]\w+|&#?\w+;|[^\W_]*\d\w*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*")
@@ -61,28 +64,32 @@ def label_language(label: str | None) -> str | None:
 
 
 class ContextTrees:
-    """The trees of all languages as one table: a row of bits, one for each language, by context and symbol."""
+    """The trees of the languages as one table: a row of bits by context and symbol, one for each language and one for all."""
 
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER) -> None:
         self.order = order
-        self.known = {code: {w for t in texts.get(code, []) for w in _WORD.findall(t.lower())} for code in LANGUAGES}
+        self.languages = tuple(sorted(code for code, own in texts.items() if own))
+        self.known = {code: {w for t in texts[code] for w in _WORD.findall(t.lower())} for code in self.languages}
         counts: list[dict[bytes, int]] = []
-        for code in LANGUAGES:
+        every: dict[bytes, int] = defaultdict(int)
+        for code in self.languages:
             seen: dict[bytes, int] = defaultdict(int)
-            for word, n in self.words(texts.get(code, [])).items():
+            for word, n in self.words(texts[code]).items():
                 for i in range(1, len(word)):
                     for k in range(min(order, i) + 1):
                         seen[word[i - k : i + 1]] += n
+                        every[word[i - k : i + 1]] += n
             counts.append(seen)
-        total: list[dict[bytes, int]] = [defaultdict(int) for _ in LANGUAGES]
-        kinds: list[dict[bytes, int]] = [defaultdict(int) for _ in LANGUAGES]
+        counts.append(every)
+        total: list[dict[bytes, int]] = [defaultdict(int) for _ in counts]
+        kinds: list[dict[bytes, int]] = [defaultdict(int) for _ in counts]
         for lang, seen in enumerate(counts):
             for key, n in seen.items():
                 total[lang][key[:-1]] += n
                 kinds[lang][key[:-1]] += 1
         contexts = sorted({c for t in total for c in t}, key=len)
         keys = sorted({k for c in counts for k in c}, key=len)
-        rows: list[list[float]] = [[8.0] * len(LANGUAGES)]  # row 0: a uniform byte
+        rows: list[list[float]] = [[8.0] * len(counts)]  # row 0: a uniform byte
         self.escape: dict[bytes, int] = {}
         self.symbol: dict[bytes, int] = {}
         for context in contexts:
@@ -132,12 +139,12 @@ class Reader:
     """Reads texts with the trees; keeps what it has worked out for tokens."""
 
     def __init__(self, trees: ContextTrees) -> None:
-        self.trees = trees
+        self.trees, self.languages = trees, trees.languages
         self.clear()
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.bits = np.zeros((1 << 12, len(LANGUAGES)), np.float32)
+        self.bits = np.zeros((1 << 12, len(self.languages)), np.float32)
         self.words = np.zeros(1 << 12, np.int32)
         self.titled = np.zeros(1 << 12, bool)
 
@@ -164,7 +171,8 @@ class Reader:
                 at.append(n)
         if rows:
             words = np.add.reduceat(self.trees.bits[np.array(rows)], firsts, axis=0)
-            np.add.at(self.bits, np.array(at), np.minimum(words - words.min(1, keepdims=True), WORD_BITS))
+            words = np.minimum(words[:, :-1], words[:, -1:] + FOREIGN_BITS)
+            np.add.at(self.bits, np.array(at), words - words.min(1, keepdims=True))  # what all languages pay decides nothing
 
     def tokens_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Token numbers of all texts in one array, and where each text begins in it."""
@@ -191,7 +199,7 @@ class Reader:
         """All bits of each text, and whether a run of its words is coded shorter by another language by SWITCH_BITS."""
         n = len(starts) - 1
         filled = np.flatnonzero(np.diff(starts))
-        totals = np.zeros((n, len(LANGUAGES)))
+        totals = np.zeros((n, len(self.languages)))
         mixed = np.zeros(n, bool)
         if len(filled) == 0:
             return totals, mixed
@@ -203,7 +211,7 @@ class Reader:
         far = 100.0 + bits.max() * np.diff(starts).max()
         drop = np.zeros(len(bits))
         drop[first] = far  # each text starts far below the one before it, so that running minima begin anew
-        for lang in range(len(LANGUAGES)):
+        for lang in range(len(self.languages)):
             before = np.concatenate(([0.0], np.cumsum(own - bits[:, lang] - drop)))
             low = before[:-1].copy()
             low[first] -= far
@@ -215,7 +223,7 @@ class Reader:
         """(language, first token, end) of the cheapest path."""
         cost = bits[0].copy()
         back = np.empty(bits.shape, np.int64)
-        stay = np.arange(len(LANGUAGES))
+        stay = np.arange(len(self.languages))
         for i in range(1, len(bits)):
             low = int(cost.argmin())
             change = cost[low] + SWITCH_BITS < cost
@@ -230,12 +238,14 @@ class Reader:
 
     def is_clause(self, tokens: list[str], lang: int) -> bool:
         words = [w for t in tokens for w in _WORD.findall(_SKIP.sub(" ", consistent(t) or ""))]
-        known = {w.lower() for w in words} & self.trees.known[LANGUAGES[lang]]
+        known = {w.lower() for w in words} & self.trees.known[self.languages[lang]]
         plain = sum(w.lower() in known and (w[0].islower() or (len(w) > 1 and w.isupper())) for w in words)
         return len(words) >= CLAUSE_WORDS and len(known) >= CLAUSE_KNOWN and plain >= CLAUSE_PLAIN
 
     def segments(self, texts: list[str | None]) -> list[list[tuple[str, float, str]]]:
         """(language, confidence, words) of the segments of each text."""
+        if not self.languages:
+            return [[] for _ in texts]
         ids, starts, pieces = self.tokens_of(texts)
         bits = self.bits_of(ids, starts)
         totals, mixed = self.candidates(bits, starts)
@@ -252,9 +262,9 @@ class Reader:
                     part = bits[starts[i] : starts[i + 1]]
                     for lang, a, b in self.cut(part):
                         if self.is_clause(tokens[a:b], lang):
-                            own.append((LANGUAGES[lang], float(confidence(part[a:b].sum(0, keepdims=True))[0]), " ".join(tokens[a:b])))
+                            own.append((self.languages[lang], float(confidence(part[a:b].sum(0, keepdims=True))[0]), " ".join(tokens[a:b])))
                 if len({s[0] for s in own}) < 2:
-                    code = own[0][0] if own else LANGUAGES[best[i]]
+                    code = own[0][0] if own else self.languages[best[i]]
                     own = [(code, own[0][1] if own else float(sure[i]), " ".join(tokens))]
             out.append(own)
         return out
@@ -278,10 +288,10 @@ def _reader(trees: ContextTrees, key: str) -> Reader:
 def train(corpus: DataFrame) -> ContextTrees:
     """Trees from (lang, text), on the driver; at most MAX_ROWS rows, chosen by hash, and MAX_BYTES of each language."""
     rows = corpus.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").orderBy(F.xxhash64("text"), "text").limit(MAX_ROWS)
-    texts: dict[str, list[str]] = {code: [] for code in LANGUAGES}
+    texts: dict[str, list[str]] = defaultdict(list)
     size: dict[str, int] = defaultdict(int)
     for row in rows.toLocalIterator():
-        code = label_language(row.lang)
+        code = label_language(row.lang) or row.lang.strip().lower()
         if code and size[code] < MAX_BYTES:
             texts[code].append(row.text)
             size[code] += len(row.text.encode())
@@ -303,7 +313,7 @@ def identify(records: DataFrame, trees: ContextTrees, words: bool = True) -> Dat
         reader = _reader(shared.value, key)
         for batch in batches:
             found = reader.segments(batch.column(3).to_pylist())
-            labels = [label_language(x) for x in batch.column(2).to_pylist()]
+            labels = [label_language(x) or ((x or "").strip().lower() if (x or "").strip().lower() in reader.languages else None) for x in batch.column(2).to_pylist()]
             rows = [[{"lang": g, "confidence": c, "words": w if words else None} for g, c, w in own] for own in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(rows, pa.list_(_SEGMENT))],

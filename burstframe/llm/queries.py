@@ -22,8 +22,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of every record; one without a language has one row without."""
     rows = _identified(spark, d, words=True).dropDuplicates(["src", "rec_id"])
-    rows = rows.select("src", "rec_id", "label_lang", F.posexplode("segments").alias("segment", "s"))
+    rows = rows.select("src", "rec_id", "label_lang", F.posexplode_outer("segments").alias("segment", "s"))
     return rows.select("src", "rec_id", "label_lang", "segment", "s.lang", F.round("s.confidence", 6).alias("confidence"), "s.words")
 
 

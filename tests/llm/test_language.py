@@ -54,13 +54,27 @@ def test_code_lengths_are_exact():
         w = L.coded(word)
         got = trees.bits[trees.rows_of(w)].sum(0)
         for lang in ("en", "de", "es"):
-            assert got[L.LANGUAGES.index(lang)] == pytest.approx(brute_bits(texts, lang, w), rel=1e-5)
+            assert got[trees.languages.index(lang)] == pytest.approx(brute_bits(texts, lang, w), rel=1e-5)
 
 
-def test_held_out_accuracy(corpus, trees):
-    held = [(lang, text) for domain, lang, text in corpus if domain == "chat"]
-    got = L.Reader(trees).segments([t for _, t in held])
-    assert np.mean([s[0][0] == lang and len(s) == 1 for s, (lang, _) in zip(got, held, strict=True)]) > 0.98
+@pytest.mark.parametrize("left", ["bulletin", "chat", "forum", "news", "reviews", "wiki"])
+def test_held_out_accuracy(corpus, left):
+    """Every domain is read with trees of the others."""
+    texts = {}
+    for d, lang, text in corpus:
+        if d != left:
+            texts.setdefault(lang, []).append(text)
+    held = [(lang, text) for d, lang, text in corpus if d == left]
+    got = L.Reader(L.ContextTrees(texts)).segments([t for _, t in held])
+    assert len(held) > 50 and np.mean([len(s) == 1 and s[0][0] == lang for s, (lang, _) in zip(got, held, strict=True)]) > 0.98
+
+
+def test_foreign_words_and_no_corpus(trees):
+    reader = L.Reader(trees)
+    reader.tokens_of(["Qzxwvkjq Zhqwxyvq"])
+    used = reader.bits[: len(reader.ids)]
+    assert used.max() <= trees.bits[trees.rows_of(L.coded("qzxwvkjq"))].sum(0)[-1] + L.FOREIGN_BITS
+    assert L.Reader(L.ContextTrees({})).segments(["a text", None]) == [[], []]
 
 
 @pytest.mark.parametrize(
@@ -94,3 +108,13 @@ def test_queries(spark, trees):
     df = spark.createDataFrame(rows, "src string, rec_id string, label string, text string").selectExpr("*", "1 AS segments")
     assert [tuple(r) for r in L.wrong_labels(L.identify(df, trees)).collect()] == [("a", "2", "en")]
     assert L.wrong_labels(L.identify(df.limit(0), trees)).count() == 0
+    assert L.wrong_labels(L.identify(df, L.ContextTrees({}))).count() == 0
+
+
+def test_languages_come_from_the_corpus(spark):
+    """A language that has no name here is known by the code of its labelled texts."""
+    corpus = spark.createDataFrame([("xx", "zub mok zub lat frip nol zub mok"), ("en", "the cat and the dog sat on the mat"), (None, "x"), ("en", None)], "lang string, text string")
+    trees = L.train(corpus)
+    assert trees.languages == ("en", "xx")
+    df = spark.createDataFrame([("a", "1", "XX ", "zub mok lat nol frip"), ("a", "2", "en", "zub mok lat nol frip")], "src string, rec_id string, label string, text string")
+    assert [tuple(r) for r in L.wrong_labels(L.identify(df, trees)).collect()] == [("a", "2", "xx")]
