@@ -84,12 +84,20 @@ def term_df(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.sum("n").alias("df"))
 
 
+def _best(rows: DataFrame, groups: list[str], order: list[Column], n: int, parts: int = 32) -> DataFrame:
+    """The first n rows of each group. They are ranked in `parts` parts by the hash of the term first, so that no task sorts
+    a whole group; the best of all parts are at most `parts` times the result."""
+    rank = lambda *by: F.row_number().over(W.partitionBy(*groups, *by).orderBy(*order))
+    kept = rows.withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(parts))).withColumn("_rank", rank("_part")).where(F.col("_rank") <= n)
+    return kept.withColumn("_rank", rank()).where(F.col("_rank") <= n).drop("_rank", "_part")
+
+
 def select_df(df: DataFrame, per_order: int = TOKENS_PER_ORDER, by_order: bool = True) -> DataFrame:
     """(term, df): the most frequent terms of each length, or of all; equal ones by term."""
-    window = W.orderBy(F.desc("df"), "term") if not by_order else W.partitionBy(F.length("term")).orderBy(F.desc("df"), "term")
+    order = [F.desc("df"), F.asc("term")]
     if not by_order:
-        return df.orderBy(F.desc("df"), "term").limit(per_order)
-    return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= per_order).drop("rank")
+        return df.orderBy(*order).limit(per_order)
+    return _best(df.withColumn("_length", F.length("term")), ["_length"], order, per_order).drop("_length")
 
 
 def xlogx(x: Column) -> Column:
@@ -141,8 +149,7 @@ def language_domain_weights(lang_gain: DataFrame, domain_gain: DataFrame | None)
 def select_ld(weights: DataFrame, per_class: int = FEATURES_PER_LANG) -> DataFrame:
     """(term), distinct: the best terms of each class, equal ones by term. Weights are compared to 12 decimals, so that
     the order of a sum cannot decide."""
-    ranked = weights.withColumn("rank", F.row_number().over(W.partitionBy("class").orderBy(F.desc(F.round("ld", 12)), "term")))
-    return ranked.where(F.col("rank") <= per_class).select("term").distinct()
+    return _best(weights, ["class"], [F.desc(F.round("ld", 12)), F.asc("term")], per_class).select("term").distinct()
 
 
 def matches(corpus: DataFrame, features: DataFrame, tokenizer: Tokenizer = byte_ngrams) -> DataFrame:
@@ -173,10 +180,11 @@ def bayes_likelihood(counts: DataFrame, features: DataFrame, langs: DataFrame) -
 def classify(texts: DataFrame, prior: DataFrame, likelihood: DataFrame, tokenizer: Tokenizer = byte_ngrams) -> DataFrame:
     """(doc_key, lang, confidence) of each row of (doc_key, text): the language of the highest sum of prior and weighted
     likelihoods, equal ones by name, with its share of the languages. A text without features has the prior's. The model
-    is bounded by the number of features and is broadcast."""
+    is bounded by the number of features and is broadcast: terms that are no features never leave their task, and what is
+    shuffled is one sum for each text and language."""
     by_term = likelihood.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("lang", "logp"))).alias("langs"))
-    rows = texts.select("doc_key", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("doc_key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sums = rows.join(F.broadcast(by_term), "term").select("doc_key", "tf", F.inline("langs")).groupBy("doc_key", "lang").agg(F.sum(F.col("tf") * F.col("logp")).alias("s"))
+    rows = texts.select("doc_key", F.explode(tokenizer(F.col("text"))).alias("term")).join(F.broadcast(by_term), "term")
+    sums = rows.select("doc_key", F.inline("langs")).groupBy("doc_key", "lang").agg(F.sum("logp").alias("s"))
     grid = texts.select("doc_key").distinct().crossJoin(F.broadcast(prior))  # each text with the few languages
     scored = grid.join(sums, ["doc_key", "lang"], "left").withColumn("score", F.round(F.col("logp") + F.coalesce("s", F.lit(0.0)), 9))
     best = scored.groupBy("doc_key").agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("best"), F.max("score").alias("top"))

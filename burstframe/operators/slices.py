@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Slices of a day at most, and nearest neighbours.
 SLICES, NEIGHBOURS = 12, 5
+#: Units of a block of the similarity product.
+BLOCK = 128
 
 
 def shift_hour(hour: Column, by: int = 8) -> Column:
@@ -58,11 +62,11 @@ def slice_tf(members: DataFrame, texts: DataFrame) -> DataFrame:
     return members.join(words, "tweet_id").groupBy("day", "slice", "seg_id", "word").agg(F.sum("n").alias("tf"))
 
 
-def slice_vectors(tf: DataFrame, word_df: DataFrame, n_tweets: int) -> DataFrame:
+def slice_vectors(tf: DataFrame, word_df: DataFrame, size: DataFrame) -> DataFrame:
     """(day, slice, seg_id, word, w): tf times ln of the whole-number ratio n_tweets / df. Words without a df are dropped,
-    and so are weights of 0, which add nothing to products and norms."""
-    idf = F.ln(F.floor(F.lit(n_tweets) / F.col("df")))
-    return tf.join(word_df, "word").select("day", "slice", "seg_id", "word", (F.col("tf") * idf).alias("w")).where("w <> 0 AND w IS NOT NULL")
+    and so are weights of 0, which add nothing to products and norms. size is one row with n_tweets."""
+    idf = F.ln(F.floor(F.col("n_tweets") / F.col("df")))
+    return tf.join(word_df, "word").crossJoin(F.broadcast(size)).select("day", "slice", "seg_id", "word", (F.col("tf") * idf).alias("w")).where("w <> 0 AND w IS NOT NULL")
 
 
 def slice_norms(vectors: DataFrame) -> DataFrame:
@@ -75,17 +79,49 @@ def slice_shares(members: DataFrame, top: DataFrame) -> DataFrame:
     return counts.join(top.select("day", "seg_id", "f_st"), ["day", "seg_id"]).select("day", "slice", "seg_id", (F.col("f_stm") / F.col("f_st")).alias("fw"))
 
 
-def pair_similarities(vectors: DataFrame, shares: DataFrame) -> DataFrame:
-    """(day, src, dst, sim), src < dst: the sum over slices of share times share times cosine. Pairs of units that meet in
-    a slice have a row even at similarity 0, as the neighbour search expects.
+def _block_cosines(block: pa.Table) -> pa.Table:
+    """Cosines of the units of one block with those of another, or of its own: a product of two matrices."""
+    left = np.array(block["side"]) == 0
+    words = np.unique(np.array(block["word"]), return_inverse=True)[1]
+    ids, u = np.array(block["seg_id"]), np.array(block["u"])
+
+    def matrix(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        units, place = np.unique(ids[side], return_inverse=True)
+        out = np.zeros((len(units), words.max(initial=-1) + 1))
+        out[place, words[side]] = u[side]
+        return units, out
+
+    (a, one), (b, other) = matrix(left), matrix(~left)
+    cos = one @ other.T
+    i, j = np.nonzero((a[:, None] < b[None, :]) & (cos != 0))
+    same = lambda name: pa.array([block[name][0].as_py()] * len(i), block[name].type)
+    return pa.table({"day": same("day"), "slice": same("slice"), "src": pa.array(a[i], pa.int32()), "dst": pa.array(b[j], pa.int32()), "cos": pa.array(cos[i, j])})
+
 
-    Units of a day are the square root of its tweets, and pairs their square: as many as tweets. Vectors join on the
-    word; a word of all units costs as many pairs as the result has.
+def pair_cosines(unit: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(day, slice, src, dst, cos), src < dst, of unit vectors (day, slice, seg_id, word, u) with a word in common.
+
+    A join on the word would make a row for each word that two units share. Here the units of a slice are cut into blocks
+    of `block`, each pair of blocks is one matrix product, and only its results, at most as many as pairs of units, leave
+    the task. A vector is repeated once for each block of its day: units of a day are the square root of its tweets.
     """
+    numbered = unit.select("day", "slice", F.col("seg_id").cast("int").alias("seg_id"), F.xxhash64("word").alias("word"), "u").withColumn("own", F.floor(F.col("seg_id") / block).cast("int"))
+    last = numbered.groupBy("day").agg(F.max("own").alias("last"))  # a row for each day
+    numbered = numbered.join(F.broadcast(last), "day")
+    one = numbered.withColumns({"side": F.lit(0), "a": F.col("own"), "b": F.explode(F.sequence("own", "last"))})
+    other = numbered.withColumns({"side": F.lit(1), "b": F.col("own"), "a": F.explode(F.sequence(F.lit(0), "own"))})
+    fields = ["day", "slice", "a", "b", "side", "seg_id", "word", "u"]
+    kinds = {f.name: f.dataType.simpleString() for f in unit.schema}
+    schema = f"day {kinds['day']}, slice {kinds['slice']}, src INT, dst INT, cos DOUBLE"
+    return one.select(*fields).unionByName(other.select(*fields)).groupBy("day", "slice", "a", "b").applyInArrow(_block_cosines, schema)
+
+
+def pair_similarities(vectors: DataFrame, shares: DataFrame) -> DataFrame:
+    """(day, src, dst, sim), src < dst: the sum over slices of share times share times cosine. Pairs of units that meet in
+    a slice have a row even at similarity 0, as the neighbour search expects: units of a day are the square root of its
+    tweets, and pairs their square, as many as tweets."""
     unit = vectors.join(slice_norms(vectors), ["day", "slice", "seg_id"]).select("day", "slice", "word", "seg_id", (F.col("w") / F.col("norm")).alias("u"))
-    a = unit.select("day", "slice", "word", F.col("seg_id").alias("src"), F.col("u").alias("ua"))
-    b = unit.select("day", "slice", "word", F.col("seg_id").alias("dst"), F.col("u").alias("ub"))
-    cosines = a.join(b, ["day", "slice", "word"]).where("src < dst").groupBy("day", "slice", "src", "dst").agg(F.sum(F.col("ua") * F.col("ub")).alias("cos"))
+    cosines = pair_cosines(unit)
     s = shares.select("day", "slice", F.col("seg_id").alias("src"), F.col("fw").alias("fa"))
     d = shares.select("day", "slice", F.col("seg_id").alias("dst"), F.col("fw").alias("fb"))
     met = s.join(d, ["day", "slice"]).where("src < dst")

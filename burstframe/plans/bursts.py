@@ -13,13 +13,18 @@ from burstframe.plans.tweets import KNOWN, PLACED, placed_tweets
 from burstframe.session import cut, table
 
 
+#: Units are the words of any script, of any length.
+WORDS = r"[\p{L}\p{M}\p{N}_]+"
+
+
 @dataclass
 class Course:
-    """The steps of one day-partitioned corpus, each made when first asked for. Steps that several others read, and that are
-    small against the corpus, are written once."""
+    """The steps of one day-partitioned corpus, each made when first asked for. Steps that several others read are written
+    once; the placed tweets are not if `shared` is false, for a query that reads them once."""
 
     spark: SparkSession
     d: str
+    shared: bool = True
 
     @cached_property
     def social(self) -> DataFrame:
@@ -27,11 +32,12 @@ class Course:
 
     @cached_property
     def placed(self) -> DataFrame:
-        return placed_tweets(self.spark, self.d)
+        rows = placed_tweets(self.spark, self.d)
+        return cut(rows) if self.shared else rows
 
     @cached_property
     def all_units(self) -> DataFrame:
-        words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+        words = F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))
         return self.placed.where("text IS NOT NULL").select("day", "tweet_id", F.explode(F.array_distinct(words)).alias("unit"))
 
     @cached_property
@@ -83,7 +89,7 @@ class Course:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return slices.slice_vectors(self.tf, self.word_df, self.texts.count())
+        return slices.slice_vectors(self.tf, self.word_df, self.texts.agg(F.count(F.lit(1)).alias("n_tweets")))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -116,12 +122,12 @@ class Course:
 
 
 def unit_day_df(spark: SparkSession, d: str) -> DataFrame:
-    return burst.unit_day_df(Course(spark, d).units)
+    return burst.unit_day_df(Course(spark, d, shared=False).units)
 
 
 def unit_df(spark: SparkSession, d: str) -> DataFrame:
     """Document frequencies of the units that the labelled corpus knows too."""
-    c = Course(spark, d)
+    c = Course(spark, d, shared=False)
     known = c.anchors.where("NOT contains(gram, '_')").select(F.col("gram").alias("unit"))
     return burst.unit_df(burst.keep_units(c.all_units, known=known))
 
@@ -143,7 +149,7 @@ def involved_tweets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchored_slices(spark: SparkSession, d: str) -> DataFrame:
-    return Course(spark, d).sliced.select("day", "line_idx", "tweet_id", "hour", "slice")
+    return Course(spark, d, shared=False).sliced.select("day", "line_idx", "tweet_id", "hour", "slice")
 
 
 def slice_tf(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +212,7 @@ QUERIES = {
 }
 
 _ALL = f"""placed AS ({PLACED}),
-all_units AS (SELECT DISTINCT day, tweet_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS unit FROM placed WHERE text IS NOT NULL AND day IS NOT NULL),
+all_units AS (SELECT DISTINCT day, tweet_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS unit FROM placed WHERE text IS NOT NULL AND day IS NOT NULL),
 units AS (SELECT * FROM all_units WHERE length(unit) >= 1 AND NOT contains(unit, 'http') AND unit NOT IN (SELECT lower(word) FROM stop_words WHERE word IS NOT NULL))"""
 _PS = f"""{_ALL},
 sizes AS (SELECT day, count(DISTINCT tweet_id) AS n FROM placed WHERE day IS NOT NULL GROUP BY day),

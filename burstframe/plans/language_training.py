@@ -89,11 +89,11 @@ def ngram_df(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_tf(spark: SparkSession, d: str) -> DataFrame:
-    return _hex(li.postings(Training(spark, d).corpus, "lang", lambda t: li.byte_ngrams(t, 1, 2), term_frequency=True))
+    return _hex(li.postings(Training(spark, d).corpus, "lang", grams, term_frequency=True))
 
 
 def word_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return li.postings(Training(spark, d).corpus, "lang", lambda t: li.word_ngrams(t, 1, 2))
+    return li.postings(Training(spark, d).corpus, "lang", li.word_ngrams)
 
 
 def word_df(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ def sampled_df(spark: SparkSession, d: str) -> DataFrame:
     """Document frequencies in drawn pieces of each text."""
     c = Training(spark, d).corpus
     pieces = c.select("doc", "domain", "lang", F.explode(li.sampled(F.col("text"), 2)).alias("text"))
-    return _hex(li.postings(pieces, "lang", lambda t: li.byte_ngrams(t, 1, 2)))
+    return _hex(li.postings(pieces, "lang", grams))
 
 
 def df_select(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,7 @@ def df_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 def df_select_all(spark: SparkSession, d: str) -> DataFrame:
-    return _hex(li.select_df(li.term_df(Training(spark, d).domains), 1000, by_order=False))
+    return _hex(li.select_df(li.term_df(Training(spark, d).domains), PER_ORDER, by_order=False))
 
 
 def ig_domain(spark: SparkSession, d: str) -> DataFrame:
@@ -217,6 +217,18 @@ tf AS (SELECT term, lang, count(*) AS n FROM hits SEMI JOIN features USING (term
 grid AS (SELECT term, lang, coalesce(n, 0) AS n FROM features CROSS JOIN prior LEFT JOIN tf USING (term, lang)),
 ptc AS (SELECT term, lang, ln(1 + n) - ln(count(*) OVER (PARTITION BY lang) + sum(n) OVER (PARTITION BY lang)) AS logp FROM grid)"""
 
+
+
+def _classified(asked: str) -> str:
+    return f"""hexed AS (SELECT id, lower(hex(encode(text))) AS h FROM {asked}),
+own AS (SELECT id, substr(h, 2 * i - 1, 2 * k) AS term FROM hexed, range(1, {ORDERS + 1}) a(k), LATERAL (SELECT unnest(range(1, length(h) // 2 - k + 2)) AS i)
+    WHERE length(h) // 2 >= {max(1, ORDERS - 1)}),
+own_sums AS (SELECT id, lang, sum(logp) AS s FROM own JOIN ptc USING (term) GROUP BY 1, 2),
+own_scores AS (SELECT a.id, p.lang, round(p.logp + coalesce(s, 0), 9) AS score FROM {asked} a CROSS JOIN prior p LEFT JOIN own_sums o ON o.id = a.id AND o.lang = p.lang),
+classified AS (SELECT id, lang, 1 / z AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS r,
+    sum(exp(score - top)) OVER (PARTITION BY id) AS z FROM (SELECT *, max(score) OVER (PARTITION BY id) AS top FROM own_scores)) WHERE r = 1)"""
+
+
 ORACLE = {
     "corpus_lines": """SELECT domain, lang, doc || '#' || (i - 1) AS doc, length(l[i])::INT AS n_chars
         FROM (SELECT domain, lang, doc, string_split(regexp_replace(text, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS l FROM corpus_item), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)
@@ -226,14 +238,14 @@ ORACLE = {
     "min_domain_prune": f"""WITH {_CORPUS}, kept AS (SELECT * FROM corpus WHERE domain IN ('news', 'forum', 'wiki', 'chat'))
         SELECT domain, lang, doc FROM kept WHERE lang IN (SELECT lang FROM kept GROUP BY lang HAVING count(DISTINCT domain) >= 4)""",
     "ngram_df": f"WITH {_TERMS} SELECT term, class, n FROM by_domain",
-    "ngram_tf": f"WITH {_CORPUS}, {_grams(2)} SELECT term, lang AS class, count(*) AS n FROM hits GROUP BY 1, 2",
+    "ngram_tf": f"WITH {_CORPUS}, {_grams(ORDERS)} SELECT term, lang AS class, count(*) AS n FROM hits GROUP BY 1, 2",
     "word_ngrams": f"""WITH {_CORPUS}, split AS (SELECT id, lang, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM corpus)
         SELECT term, lang AS class, count(DISTINCT id) AS n FROM (SELECT id, lang, array_to_string(w[i:i+k-1], ' ') AS term
-        FROM split, range(1, 3) a(k), LATERAL (SELECT unnest(range(1, len(w))) AS i)) GROUP BY 1, 2""",
+        FROM split, range(1, 4) a(k), LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)) GROUP BY 1, 2""",
     "word_df": f"""WITH {_CORPUS} SELECT term, lang AS class, count(DISTINCT id) AS n
         FROM (SELECT id, lang, unnest(regexp_split_to_array(text, '\\s+')) AS term FROM corpus) WHERE term <> '' GROUP BY 1, 2""",
     "df_select": f"WITH {_TERMS} SELECT term, df FROM candidates",
-    "df_select_all": f"WITH {_TERMS} SELECT term, df FROM df ORDER BY df DESC, term LIMIT 1000",
+    "df_select_all": f"WITH {_TERMS} SELECT term, df FROM df ORDER BY df DESC, term LIMIT {PER_ORDER}",
     "ig_domain": f"WITH {_GAINS} SELECT term, round(ig, 8) AS ig FROM domain_gain",
     "ig_lang_bin": f"WITH {_GAINS} SELECT term, class, round(ig, 8) AS ig FROM lang_gain",
     "ld_select": f"WITH {_LD} SELECT term FROM features",
@@ -243,6 +255,12 @@ ORACLE = {
         sums AS (SELECT id, lang, sum(tf * logp) AS s FROM doc_tf JOIN ptc USING (term) GROUP BY 1, 2),
         scored AS (SELECT c.id, p.lang, round(p.logp + coalesce(s, 0), 9) AS score FROM (SELECT DISTINCT id FROM corpus) c CROSS JOIN prior p LEFT JOIN sums ON sums.id = c.id AND sums.lang = p.lang)
         SELECT id AS doc_key, lang FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS r FROM scored) WHERE r = 1""",
+    "tweet_languages": f"""WITH {_NB}, asked AS (SELECT id_str AS id, text FROM ({FIRST}) WHERE text IS NOT NULL), {_classified("asked")}
+        SELECT lang, count(*) AS n, round(avg(confidence), 4) AS confidence FROM classified GROUP BY lang""",
+    "english_filter": f"""WITH {_NB}, tweets AS (SELECT id_str, lang, list_distinct(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}')) AS tokens FROM ({FIRST}) WHERE text IS NOT NULL),
+        held AS (SELECT id_str, unnest(tokens) AS id FROM tweets), asked AS (SELECT DISTINCT id, id AS text FROM held), {_classified("asked")},
+        shares AS (SELECT id_str, avg(CASE WHEN classified.lang = 'en' THEN 1 ELSE 0 END) AS share FROM held JOIN classified USING (id) GROUP BY id_str)
+        SELECT id_str FROM tweets LEFT JOIN shares USING (id_str) WHERE lang = 'en' OR share >= 0.8""",
     "bl_weights": f"""WITH {_NB}, soft AS (SELECT term, lang, exp(logp) / sum(exp(logp)) OVER (PARTITION BY lang) AS p FROM ptc),
         sums AS (SELECT term, sum(p) AS z FROM soft GROUP BY term)
         SELECT a.lang AS lang1, b.lang AS lang2, term, round(abs(a.p - b.p) / z, 8) AS weight FROM soft a JOIN soft b USING (term) JOIN sums USING (term) WHERE a.lang < b.lang""",

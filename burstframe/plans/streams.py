@@ -22,9 +22,9 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_day_window(spark: SparkSession, d: str) -> DataFrame:
-    """Days that are over when all input has been read."""
+    """Rows of each day, those of days that are still open included."""
     rows = _stream(spark, d, "raw_tweet").select(F.col("received_at").cast("timestamp").alias("received_at"))
-    return st.run_available(st.daily_counts(rows, delay="1 day"))
+    return st.run_available_in_full(st.daily_totals(rows))
 
 
 def stream_language(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +39,7 @@ def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stream_dedup, stream_day_window, stream_language, stream_chunks)}
 ORACLE = {
+    "stream_day_window": "SELECT received_at::DATE AS day, count(*) AS n FROM raw_tweet WHERE received_at IS NOT NULL GROUP BY 1",
     "stream_dedup": "SELECT DISTINCT id_str FROM raw_tweet WHERE id_str IS NOT NULL AND received_at IS NOT NULL",
     "stream_language": "SELECT id_str, text FROM raw_tweet WHERE lang = 'en' AND retweet_count = 0 AND length(text) > 0",
 }

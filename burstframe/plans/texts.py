@@ -43,12 +43,11 @@ def entity_decode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def one_line(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("tweet_id", tx.one_line(F.regexp_replace("text", "[^ -~\\n\\r\\t]", "")).alias("text"))
+    return _texts(spark, d).select("tweet_id", tx.one_line(F.col("text")).alias("text"))
 
 
 def punct_spacing(spark: SparkSession, d: str) -> DataFrame:
-    rows = _tokens(spark, d).where("NOT word RLIKE '[^!-~]'")
-    return rows.select("word", tx.space_punctuation(F.col("word")).alias("spaced"))
+    return _tokens(spark, d).select("word", tx.space_punctuation(F.col("word")).alias("spaced"))
 
 
 def repeat_norm(spark: SparkSession, d: str) -> DataFrame:
@@ -165,8 +164,8 @@ ORACLE = {
     "url_tokens": f"SELECT word, {_url('word')} AS url FROM ({_TOKENS}) WHERE contains(word, 'http')",
     "mention_tokens": f"SELECT word, {_mention('word')} AS mention FROM ({_TOKENS}) WHERE contains(word, '@')",
     "entity_decode": f"SELECT tweet_id, {_decode('text')} AS text FROM ({_TEXTS}) WHERE contains(text, '&')",
-    "one_line": f"SELECT tweet_id, trim(regexp_replace(regexp_replace(text, '[^ -~\\n\\r\\t]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM ({_TEXTS})",
-    "punct_spacing": f"SELECT word, {_space('word')} AS spaced FROM ({_TOKENS}) WHERE NOT regexp_matches(word, '[^!-~]')",
+    "one_line": f"SELECT tweet_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM ({_TEXTS})",
+    "punct_spacing": f"SELECT word, {_space('word')} AS spaced FROM ({_TOKENS})",
     "token_flags": f"""SELECT tweet_id, coalesce(array_to_string({_BARE.format(_SPLIT)}, ' '), '') AS plain,
         coalesce(array_to_string({_FLAGS.format(_SPLIT)}, ' '), '') AS replaced FROM ({_TEXTS})""",
     "typographic": f"""SELECT tweet_id, replace(regexp_replace(regexp_replace(replace(regexp_replace(replace(text, '…', '...'), '[‘’“”]', '''', 'g'), chr(160), ' '),

@@ -25,6 +25,13 @@ def daily_counts(tweets: DataFrame, time: str = "received_at", delay: str = "14
     return counts.select(F.to_date("window.start").alias("day"), "n")
 
 
+def daily_totals(tweets: DataFrame, time: str = "received_at") -> DataFrame:
+    """(day, n): rows of each day so far, for output in full after each batch. The state is one number a day, so nothing is
+    ever late, whatever the order of the input."""
+    counts = tweets.where(F.col(time).isNotNull()).groupBy(F.window(time, "1 day")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.to_date("window.start").alias("day"), "n")
+
+
 def anchored_slices(rows: DataFrame, step: int = 2) -> DataFrame:
     """(day, tweet_id, hour, slice) of rows that come in order within each day: an hour `step` or more after the start of
     the current slice starts the next; rows before the current slice are late and dropped. The state of a day is one
@@ -73,3 +80,19 @@ def run_available(stream: DataFrame) -> DataFrame:
     if query.exception() is not None:  # pragma: no cover
         raise RuntimeError(str(query.exception()))
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_available_in_full(stream: DataFrame) -> DataFrame:
+    """What an aggregating stream gives after all input that is there now, the groups that are still open included: each
+    batch's whole result is written, and the last one read."""
+    folder, schema = shared_folder(stream.sparkSession, "stream"), stream.schema
+    done = [-1]
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch-{batch}")
+        done[0] = batch
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("complete").start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(schema).parquet(f"{folder}/batch-{done[0]}") if done[0] >= 0 else spark.createDataFrame([], schema)

@@ -47,6 +47,20 @@ def test_slices_against_the_sequence(spark):
     assert [want[("x", i)] for i in range(6)] == [0, 0, 2, 5, 5, 7] and ("x", 6) not in got
 
 
+def test_block_products_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(d, s, u, w, rng.random()) for d in ("1", "2") for s in (0, 2) for u in range(11) for w in "abcdef" if rng.random() < 0.4 and not (d == "2" and u > 4)]
+    df = spark.createDataFrame(rows, "day string, slice int, seg_id int, word string, u double")
+    got = {(r.day, r.slice, r.src, r.dst): r.cos for r in slices.pair_cosines(df, block=3).collect()}
+    want = {}
+    for d, s, a, w, x in rows:
+        for e, t, b, v, y in rows:
+            if (d, s, w) == (e, t, v) and a < b:
+                want[d, s, a, b] = want.get((d, s, a, b), 0) + x * y
+    assert got == pytest.approx(want) and len(want) > 50
+    assert slices.pair_cosines(df.limit(0)).count() == 0
+
+
 def test_nearest_and_mutual(spark):
     edges = spark.createDataFrame([("1", 0, 1, 0.5), ("1", 0, 2, 0.5), ("1", 1, 2, 0.1), ("1", 0, 3, 0.9)], "day string, src int, dst int, sim double")
     near = {(r.node, r.nbr) for r in slices.nearest(edges, 1).collect()}
