@@ -177,7 +177,7 @@ def mutual_knn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return Course(spark, d).clusters
+    return Course(spark, d).clusters.withColumn("sim", F.round("sim", 6))
 
 
 def phrase_worth(spark: SparkSession, d: str) -> DataFrame:
@@ -196,6 +196,12 @@ def event_report(spark: SparkSession, d: str) -> DataFrame:
     return events.report_text(events.event_report(c.clusters, c.scores, c.top, c.worth))
 
 
+def event_units(spark: SparkSession, d: str) -> DataFrame:
+    """The units of each event as they are read back from its report, in order of worth."""
+    rows = events.read_report(event_report(spark, d))
+    return rows.select("day", "rank", F.posexplode("units").alias("pos", "unit"))
+
+
 def event_histograms(spark: SparkSession, d: str) -> DataFrame:
     scores = Course(spark, d).scores
     sizes = events.size_histogram(scores).select("day", F.lit("size").alias("kind"), F.col("size").cast("int").alias("value"), "n_events")
@@ -207,18 +213,25 @@ QUERIES = {
     f.__name__: f
     for f in (
         unit_day_df, unit_df, unit_ps, burst_units, burst_topk, involved_tweets, anchored_slices, slice_tf, slice_tfidf, slice_norms, unit_pair_sim,
-        knn_edges, mutual_knn, event_clusters, phrase_worth, event_scores, event_report, event_histograms,
+        knn_edges, mutual_knn, event_clusters, phrase_worth, event_scores, event_report, event_units, event_histograms,
     )
 }
 
 _ALL = f"""placed AS ({PLACED}),
 all_units AS (SELECT DISTINCT day, tweet_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS unit FROM placed WHERE text IS NOT NULL AND day IS NOT NULL),
 units AS (SELECT * FROM all_units WHERE length(unit) >= 1 AND NOT contains(unit, 'http') AND unit NOT IN (SELECT lower(word) FROM stop_words WHERE word IS NOT NULL))"""
-_PS = f"""{_ALL},
+
+def ps_sql(units: str) -> str:
+    """Common tables up to ps, for common tables that end in placed and units (day, tweet_id, unit)."""
+    return f"""{units},
 sizes AS (SELECT day, count(DISTINCT tweet_id) AS n FROM placed WHERE day IS NOT NULL GROUP BY day),
 day_df AS (SELECT unit, day, count(*) AS df FROM units GROUP BY unit, day),
 ps AS (SELECT unit, avg(df / n) AS ps FROM day_df JOIN sizes USING (day) GROUP BY unit)"""
-_BURST = f"""{_PS},
+
+
+def burst_sql(units: str) -> str:
+    """Common tables up to top (day, seg_id, unit, f_st, wb)."""
+    return f"""{ps_sql(units)},
 known AS ({KNOWN}),
 known_sizes AS (SELECT day, count(*) AS n FROM (SELECT DISTINCT day, tweet_id FROM placed WHERE day IS NOT NULL) JOIN known USING (tweet_id) GROUP BY day),
 counts AS (SELECT day, unit, count(*) AS f_st, count(DISTINCT user_id) AS u_st FROM units JOIN known USING (tweet_id) GROUP BY day, unit),
@@ -226,6 +239,9 @@ expected AS (SELECT day, unit, f_st, u_st, n, n * ps AS e, sqrt(n * ps * (1 - ps
 bursts AS (SELECT day, unit, f_st, u_st, n, (CASE WHEN f_st >= e + 2 * s THEN 1 ELSE 1 / (1 + exp(-(10 * (f_st - e - s) / s))) END) * log10(u_st) AS wb
     FROM expected WHERE f_st > e),
 top AS (SELECT day, (r - 1)::INT AS seg_id, unit, f_st, wb FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY wb DESC, unit) AS r FROM bursts) WHERE r - 1 <= floor(sqrt(n)))"""
+
+
+_PS, _BURST = ps_sql(_ALL), burst_sql(_ALL)
 _SLICED = f"""{_BURST},
 hours AS (SELECT day, line_idx, tweet_id, hour FROM placed JOIN (SELECT tweet_id, min(hour) AS hour FROM social WHERE tweet_id IS NOT NULL AND hour IS NOT NULL GROUP BY 1) USING (tweet_id)),
 maxima AS (SELECT day, line_idx, hour, row_number() OVER (PARTITION BY day ORDER BY line_idx) AS k FROM (
@@ -254,11 +270,49 @@ pairs AS (SELECT a.day, a.seg_id AS src, b.seg_id AS dst, sum(a.fw * b.fw * coal
 _KNN = f"""{_PAIRS},
 both_ways AS (SELECT day, src AS node, dst AS nbr, round(sim, 9) AS sim FROM pairs UNION ALL SELECT day, dst, src, round(sim, 9) FROM pairs),
 knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day, node ORDER BY sim DESC, nbr)::INT AS rank FROM both_ways) WHERE rank <= 5)"""
+_CLUSTERS = f"""{_KNN},
+near AS (SELECT day, node, list(nbr ORDER BY nbr) AS near FROM knn k WHERE EXISTS (SELECT 1 FROM knn b WHERE b.day = k.day AND b.node = k.nbr AND b.nbr = k.node) GROUP BY day, node),
+visits AS (
+    SELECT day, n, 0 AS i, list_transform(range(n), lambda x: -1) AS home, 0 AS made, []::STRUCT(c INT, a INT, b INT)[] AS edges FROM (SELECT day, count(*)::INT AS n FROM top GROUP BY day)
+    UNION ALL
+    SELECT day, n, i + 1, list_transform(range(n), lambda x: CASE WHEN x = i OR list_contains(fresh, x) THEN c ELSE home[x + 1] END), made + (home[i + 1] < 0)::INT,
+        list_concat(edges, list_transform(fresh, lambda x: {{'c': c, 'a': least(i, x)::INT, 'b': greatest(i, x)::INT}}))
+    FROM (SELECT v.*, list_filter(coalesce(k.near, []), lambda x: v.home[x + 1] < 0) AS fresh, CASE WHEN v.home[v.i + 1] < 0 THEN v.made ELSE v.home[v.i + 1] END AS c
+        FROM visits v LEFT JOIN near k ON k.day = v.day AND k.node = v.i WHERE v.i < v.n)),
+settled AS (SELECT * FROM visits WHERE i = n),
+taken AS (SELECT day, (e).c AS cluster, (e).a AS src, (e).b AS dst, sim FROM (SELECT day, unnest(edges) AS e FROM settled) JOIN (SELECT day AS d, node, nbr, sim FROM knn) k ON k.d = day AND k.node = (e).a AND k.nbr = (e).b),
+housed AS (SELECT day, unnest(home) AS cluster, unnest(range(n))::INT AS node FROM settled),
+nodes AS (SELECT h.day, h.cluster, h.node, greatest(1, count(t.src))::INT AS degree FROM housed h LEFT JOIN taken t ON t.day = h.day AND (t.src = h.node OR t.dst = h.node) GROUP BY ALL)"""
 _ANCHORS = """docs AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM corpus_item WHERE text IS NOT NULL),
 grams AS (SELECT unnest(list_distinct(list_concat(w, list_transform(range(1, greatest(len(w), 2)), lambda i: array_to_string(w[i:i+1], '_'))))) AS gram FROM docs),
 anchors AS (SELECT gram, ln(count(*) / (SELECT count(*) FROM docs)) AS logp FROM grams WHERE gram <> '' GROUP BY gram)"""
 
+
+_EVENTS = f"""{_CLUSTERS}, {_ANCHORS},
+asked AS (SELECT DISTINCT unit FROM top),
+grams_of AS (SELECT unit, contains(unit, '_') AS several, array_to_string(w[i:j], '_') AS gram
+    FROM (SELECT unit, string_split(unit, '_') AS w FROM asked), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i), LATERAL (SELECT unnest(range(i, len(w) + 1)) AS j)),
+worth AS (SELECT unit, CASE WHEN max(logp) IS NULL THEN 0 WHEN any_value(several) THEN greatest(exp(max(logp)) - 1, 0) ELSE exp(max(logp)) END AS worth
+    FROM grams_of LEFT JOIN anchors USING (gram) GROUP BY unit),
+members_of AS (SELECT c.day, c.cluster, c.node, c.degree, t.unit, coalesce(w.worth, 0) AS worth FROM nodes c JOIN top t ON t.day = c.day AND t.seg_id = c.node LEFT JOIN worth w USING (unit)),
+scores AS (SELECT m.day, m.cluster, m.n, m.worth / m.n * coalesce(e.sim, 0) / m.n AS score
+    FROM (SELECT day, cluster, count(*) AS n, sum(worth) AS worth FROM members_of GROUP BY 1, 2) m LEFT JOIN (SELECT day, cluster, sum(sim) AS sim FROM taken GROUP BY 1, 2) e USING (day, cluster)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ratio, cluster)::INT AS rank FROM (SELECT *, max(score) OVER (PARTITION BY day) / score AS ratio FROM scores WHERE score > 0)),
+reported AS (
+    SELECT r.day, r.rank, r.ratio, m.n, m.nodes, m.by_degree, m.by_worth, coalesce(e.edges, '') AS edges FROM ranked r
+    JOIN (SELECT day, cluster, count(*) AS n, string_agg(node::VARCHAR, ' ' ORDER BY node) AS nodes, string_agg(unit, ' ' ORDER BY degree DESC, unit) AS by_degree,
+        string_agg(unit, ' ' ORDER BY worth DESC, unit) AS by_worth FROM members_of GROUP BY 1, 2) m USING (day, cluster)
+    LEFT JOIN (SELECT day, cluster, string_agg(printf('%d-%d:%.4f', src, dst, sim), ' ' ORDER BY src, dst) AS edges FROM taken GROUP BY 1, 2) e USING (day, cluster))"""
+
 ORACLE = {
+    "event_clusters": f"""WITH RECURSIVE {_CLUSTERS} SELECT day, cluster::INT AS cluster, node, degree, NULL::INT AS src, NULL::INT AS dst, NULL::DOUBLE AS sim FROM nodes
+        UNION ALL SELECT day, cluster, NULL, NULL, src, dst, round(sim, 6) FROM taken""",
+    "event_scores": f"WITH RECURSIVE {_EVENTS} SELECT day, cluster::INT AS cluster, n, round(score, 6) AS score, round(ratio, 6) AS ratio, rank FROM ranked",
+    "event_report": f"""WITH RECURSIVE {_EVENTS} SELECT day, rank,
+        concat_ws(chr(10), repeat('*', 20), printf('%d %.4f %d', rank, ratio, n), nodes, by_degree, by_worth, edges) AS block FROM reported""",
+    "event_units": f"WITH RECURSIVE {_EVENTS} SELECT day, rank, unnest(range(len(u)))::INT AS pos, unnest(u) AS unit FROM (SELECT day, rank, string_split(by_worth, ' ') AS u FROM reported)",
+    "event_histograms": f"""WITH RECURSIVE {_EVENTS} SELECT day, 'size' AS kind, n::INT AS value, count(*) AS n_events FROM ranked GROUP BY ALL
+        UNION ALL SELECT day, 'ratio', floor(ratio)::INT, count(*) FROM ranked WHERE floor(ratio) <= 10 GROUP BY ALL""",
     "unit_day_df": f"WITH {_PS} SELECT unit, day, df FROM day_df",
     "unit_df": f"WITH {_ALL}, {_ANCHORS} SELECT unit, count(DISTINCT tweet_id) AS df FROM all_units WHERE NOT contains(unit, 'http') AND unit IN (SELECT gram FROM anchors) GROUP BY unit",
     "unit_ps": f"WITH {_PS} SELECT unit, round(ps, 9) AS ps FROM ps",
