@@ -186,6 +186,11 @@ def frames(sentences: DataFrame, phrases: str = "phrases") -> DataFrame:
     return sentences.withColumn("frames", found).where(F.size("frames") > 0)
 
 
+def with_phrases(sentences: DataFrame, chunks: DataFrame, keys: list[str], phrases: str = "phrases") -> DataFrame:
+    """Adds phrases to sentences from a table of them, by the keys of a sentence; null for one that has no row there."""
+    return sentences.join(chunks.select(*keys, phrases).dropDuplicates(keys), keys, "left")
+
+
 def frame_text(frame: Column) -> Column:
     return F.concat_ws("|", frame.arg1, frame.verb, frame.arg2)
 

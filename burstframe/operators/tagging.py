@@ -39,7 +39,7 @@ COARSE = {
 def sentences(text: Column) -> Column:
     """Pieces between line breaks and ends of sentences; empty ones are left out."""
     pieces = F.split(F.regexp_replace(text, r"([.!?]+)\s+", "$1\n"), "\n+")
-    return F.filter(F.transform(pieces, F.trim), lambda s: s != "")
+    return F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda s: s != "")
 
 
 def tokens(sentence: Column) -> Column:
