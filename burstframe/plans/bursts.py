@@ -242,7 +242,7 @@ top AS (SELECT day, (r - 1)::INT AS seg_id, unit, f_st, wb FROM (SELECT *, row_n
 
 
 _PS, _BURST = ps_sql(_ALL), burst_sql(_ALL)
-_SLICED = f"""{_BURST},
+SLICED = f"""{_BURST},
 hours AS (SELECT day, line_idx, tweet_id, hour FROM placed JOIN (SELECT tweet_id, min(hour) AS hour FROM social WHERE tweet_id IS NOT NULL AND hour IS NOT NULL GROUP BY 1) USING (tweet_id)),
 maxima AS (SELECT day, line_idx, hour, row_number() OVER (PARTITION BY day ORDER BY line_idx) AS k FROM (
     SELECT *, max(hour) OVER (PARTITION BY day ORDER BY line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hours) WHERE before IS NULL OR hour > before),
@@ -255,7 +255,7 @@ members AS (SELECT DISTINCT day, slice, seg_id, tweet_id FROM units JOIN top USI
 texts AS (SELECT tweet_id, text FROM placed WHERE text IS NOT NULL),
 words AS (SELECT tweet_id, word, count(*) AS n FROM (SELECT tweet_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM texts) WHERE word <> '' GROUP BY 1, 2),
 tf AS (SELECT day, slice, seg_id, word, sum(n)::BIGINT AS tf FROM members JOIN words USING (tweet_id) GROUP BY ALL)"""
-_VECTORS = f"""{_SLICED},
+_VECTORS = f"""{SLICED},
 word_df AS (SELECT word, count(*) AS df FROM words GROUP BY word),
 vectors AS (SELECT day, slice, seg_id, word, tf * ln((SELECT count(*) FROM texts) // df) AS w FROM tf JOIN word_df USING (word) WHERE (SELECT count(*) FROM texts) // df > 1),
 norms AS (SELECT day, slice, seg_id, sqrt(sum(w * w)) AS norm FROM vectors GROUP BY ALL)"""
@@ -319,8 +319,8 @@ ORACLE = {
     "burst_units": f"WITH {_BURST} SELECT day, unit, f_st, u_st, round(wb, 6) AS wb FROM bursts",
     "burst_topk": f"WITH {_BURST} SELECT day, seg_id, unit, f_st, round(wb, 6) AS wb FROM top",
     "involved_tweets": f"WITH {_BURST} SELECT DISTINCT day, tweet_id FROM units JOIN top USING (day, unit)",
-    "anchored_slices": f"WITH RECURSIVE {_SLICED} SELECT day, line_idx, tweet_id, hour, slice FROM sliced",
-    "slice_tf": f"WITH RECURSIVE {_SLICED} SELECT * FROM tf",
+    "anchored_slices": f"WITH RECURSIVE {SLICED} SELECT day, line_idx, tweet_id, hour, slice FROM sliced",
+    "slice_tf": f"WITH RECURSIVE {SLICED} SELECT * FROM tf",
     "slice_tfidf": f"WITH RECURSIVE {_VECTORS} SELECT day, slice, seg_id, word, round(w, 6) AS w FROM vectors",
     "slice_norms": f"WITH RECURSIVE {_VECTORS} SELECT day, slice, seg_id, round(norm, 6) AS norm FROM norms",
     "unit_pair_sim": f"WITH RECURSIVE {_PAIRS} SELECT day, src, dst, round(sim, 6) AS sim FROM pairs",

@@ -110,14 +110,14 @@ QUERIES = {
 _TOKEN = r"https?://\S+|[@#]\w+|[\p{L}\p{N}_]+(?:[''’-][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]"
 
 
-def _listed(table: dict[str, str], word: str) -> str:
+def listed(table: dict[str, str], word: str) -> str:
     return " ".join(f"WHEN {word} IN ({', '.join(chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in words.split(' '))}) THEN '{key}'" for key, words in table.items())
 
 
 _TAG = rf"""CASE WHEN starts_with(w, 'http') THEN 'URL' WHEN starts_with(w, '@') AND length(w) > 1 THEN 'USR' WHEN starts_with(w, '#') AND length(w) > 1 THEN 'HT'
     WHEN lower(w) = 'rt' THEN 'RT' WHEN w = ',' THEN ',' WHEN w IN (';', ':') THEN ':' WHEN w IN ('.', '!', '?', '…') THEN '.' WHEN w = '(' THEN '-LRB-' WHEN w = ')' THEN '-RRB-'
     WHEN regexp_full_match(w, '[^\p{{L}}\p{{N}}_]+') THEN 'SYM' WHEN regexp_matches(w, '^[0-9]') THEN 'CD' WHEN regexp_matches(w, '[^ -~]') THEN 'FW'
-    {_listed(tagging.LEXICON, 'lower(w)')}
+    {listed(tagging.LEXICON, 'lower(w)')}
     WHEN regexp_full_match(lower(w), '..+ing') THEN 'VBG' WHEN regexp_full_match(lower(w), '..+ed') THEN 'VBD' WHEN regexp_full_match(lower(w), '..+ly') THEN 'RB'
     WHEN regexp_matches(w, '^[A-Z]') THEN 'NNP' WHEN regexp_full_match(lower(w), '..+[^s]s') THEN 'NNS' ELSE 'NN' END"""
 
@@ -131,7 +131,7 @@ tagged AS (SELECT {named}sentence, words, list_transform(words, lambda w: {_TAG}
 
 _TAGGED = tagged_sql(PLACED, "day", "tweet_id")
 _CODES = f"""{_TAGGED},
-codes AS (SELECT DISTINCT array_to_string(list_transform(tags, lambda t: CASE {_listed(frames.CODES, 't')} ELSE 'X' END), '') AS code FROM tagged)"""
+codes AS (SELECT DISTINCT array_to_string(list_transform(tags, lambda t: CASE {listed(frames.CODES, 't')} ELSE 'X' END), '') AS code FROM tagged)"""
 
 
 def _found(pattern: str) -> str:
@@ -150,26 +150,27 @@ def _quoted(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-def _chunk_steps() -> str:
-    """One common table for each rule; every place is tested against the tags as they were before the rule."""
+def chunked_sql(texts: str, *keys: str) -> str:
+    """Common table chunked (keys, sentence, words, tags, sts, eds) of a query with keys and text: where phrases begin and
+    end. One common table for each rule; every place is tested against the tags as they were before the rule."""
     tags = chunking.POS_TAGS
     outside, begins = (_quoted([t for t, c in tags.items() if c == x]) for x in "OB")
-    steps = [f"""rule_0 AS (SELECT day, tweet_id, sentence, words, tags, list_append(words, 'ZZZ') AS W, list_append(tags, 'ZZZ') AS P,
+    named = ", ".join(keys)
+    steps = [f"""rule_0 AS (SELECT {named}, sentence, words, tags, list_append(words, 'ZZZ') AS W, list_append(tags, 'ZZZ') AS P,
     list_append(list_transform(tags, lambda t: CASE WHEN t IN ({outside}) THEN 'O' WHEN t IN ({begins}) THEN 'B' ELSE 'I' END), 'Z') AS T FROM tagged)"""]
     for k, line in enumerate(chunking.RULES):
         r = chunking.parse_rule(line)
         tests = " AND ".join("(" + " OR ".join(f"{kind}[i + {o}] = '{value}'" for o in offsets) + ")" for kind, offsets, value in r.parts)
         steps.append(f"""rule_{k + 1} AS (SELECT * REPLACE (list_transform(range(1, len(W) + 1),
     lambda i: CASE WHEN i + {r.low} >= 1 AND i + {r.high} <= len(W) AND {tests} THEN '{r.out}' ELSE T[i] END) AS T) FROM rule_{k})""")
-    return ",\n".join(steps)
-
-
-_CHUNKED = f"""{_TAGGED},
-{_chunk_steps()},
-chunked AS (SELECT day, tweet_id, sentence, words, tags,
+    return tagged_sql(texts, *keys) + ",\n" + ",\n".join(steps) + f""",
+chunked AS (SELECT {named}, sentence, words, tags,
     list_filter(range(len(words)), lambda i: T[i + 1] = 'B' OR (T[i + 1] = 'I' AND (i = 0 OR T[i] = 'O'))) AS sts,
     list_filter(range(len(words)), lambda i: T[i + 1] <> 'O' AND (i + 1 = len(words) OR T[i + 2] IN ('B', 'O'))) AS eds FROM rule_{len(chunking.RULES)})"""
-_BRACKETED = """array_to_string(list_transform(range(len(words)), lambda i: CASE WHEN list_contains(sts, i) THEN '[ ' ELSE '' END || words[i + 1] || '/' || tags[i + 1]
+
+
+_CHUNKED = chunked_sql(PLACED, "day", "tweet_id")
+BRACKETED = """array_to_string(list_transform(range(len(words)), lambda i: CASE WHEN list_contains(sts, i) THEN '[ ' ELSE '' END || words[i + 1] || '/' || tags[i + 1]
     || CASE WHEN list_contains(eds, i) THEN ' ]' ELSE '' END), ' ')"""
 _PHRASES = "list_transform(range(1, len(sts) + 1), lambda k: {'st': sts[k], 'ed': eds[k]})"
 _NOUN = "starts_with(tags[{0} + 1], 'NN')"
@@ -195,7 +196,7 @@ refined AS (SELECT * EXCLUDE (phrases, found), flatten(list_transform(found, lam
     lambda k: {{'st': CASE WHEN k = 0 THEN f.p.st ELSE f.m[k] + 1 END, 'ed': CASE WHEN k = len(f.m) THEN f.p.ed ELSE f.m[k + 1] - 1 END}}), lambda p: p.ed >= 0 AND {_NOUN.format('p.ed')}) END)) AS phrases FROM marked),
 verbs AS (SELECT r.*, list_filter(phrases, lambda p: len(list_filter(tags[p.st + 1:p.ed + 1], lambda t: t IN ({_quoted(list(frames.NO_ARGUMENT))}))) = 0) AS valid,
     unnest(m.verbs) AS v, unnest(range(len(m.verbs))) AS place
-    FROM (SELECT *, array_to_string(list_transform(tags, lambda t: CASE {_listed(frames.CODES, 't')} ELSE 'X' END), '') AS code FROM refined) r JOIN merged m USING (code)),
+    FROM (SELECT *, array_to_string(list_transform(tags, lambda t: CASE {listed(frames.CODES, 't')} ELSE 'X' END), '') AS code FROM refined) r JOIN merged m USING (code)),
 near AS (SELECT *, list_last(list_filter(valid, lambda p: p.ed < v.st)) AS left_np, list_first(list_filter(valid, lambda p: p.st > v.ed)) AS right_np,
     list_max(list_filter(range(0, v.st), lambda i: {_NOUN.format('i')})) AS left_n, list_min(list_filter(range(v.ed + 1, len(tags)), lambda i: {_NOUN.format('i')})) AS right_n FROM verbs),
 placed_slots AS (SELECT *,
@@ -229,12 +230,12 @@ _FRAMES = _frames_sql()
 _FRAME_BURST = burst_sql(_FRAMES)
 
 ORACLE = {
-    "np_chunks": f"WITH {_CHUNKED} SELECT day, tweet_id, sentence, {_BRACKETED} AS line FROM chunked",
+    "np_chunks": f"WITH {_CHUNKED} SELECT day, tweet_id, sentence, {BRACKETED} AS line FROM chunked",
     "chunk_scan": f"WITH {_CHUNKED} SELECT day, tweet_id, sentence, unnest(sts)::INT AS st, unnest(eds)::INT AS ed FROM chunked",
     "proper_ends": f"""WITH {_CHUNKED} SELECT starts_with(tags[ed + 1], 'NNP') AS proper, count(*) AS n FROM (SELECT tags, unnest(eds) AS ed FROM chunked) GROUP BY 1""",
     "span_relations": f"""WITH {_CHUNKED}, {_SPANS.removeprefix(_TAGGED + ",").strip()},
         pairs AS (SELECT s.st AS st1, s.ed AS ed1, c.st AS st2, c.ed AS ed2 FROM spans s
-            JOIN (SELECT array_to_string(list_transform(tags, lambda t: CASE {_listed(frames.CODES, 't')} ELSE 'X' END), '') AS code, unnest(sts) AS st, unnest(eds) AS ed FROM chunked) c USING (code))
+            JOIN (SELECT array_to_string(list_transform(tags, lambda t: CASE {listed(frames.CODES, 't')} ELSE 'X' END), '') AS code, unnest(sts) AS st, unnest(eds) AS ed FROM chunked) c USING (code))
         SELECT CASE WHEN ed2 + 1 < st1 THEN 'left' WHEN ed2 + 1 = st1 THEN 'left adjacent' WHEN st2 > ed1 + 1 THEN 'right' WHEN st2 = ed1 + 1 THEN 'right adjacent'
             WHEN st2 <= st1 AND ed1 <= ed2 THEN 'cover' WHEN st1 <= st2 AND ed2 <= ed1 THEN 'insider' WHEN st2 < st1 THEN 'left intersaction' ELSE 'right intersaction' END AS relation, count(*) AS n
         FROM pairs GROUP BY 1""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from burstframe.functions import text as tx
 from burstframe.operators import stats, tagging
+from burstframe.plans.framing import listed, repeats_sql, tagged_sql
 from burstframe.plans.tweets import FIRST, first_rows
 from burstframe.session import table
 
@@ -88,9 +89,13 @@ def stop_share(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tweet_id", stats.overlap(F.split(F.lower("text"), " "), F.col("stop")).alias("n_stop"))
 
 
+#: A small lexicon of shorthand.
+LEXICON = {"u": "you", "2nite": "tonight", "gr8": "great", "pls": "please", "btw": "by the way"}
+
+
 def lexicon_map(spark: SparkSession, d: str) -> DataFrame:
     """Text for the tagger, with words replaced by a small lexicon."""
-    lexicon = F.create_map(*(F.lit(x) for x in ("u", "you", "2nite", "tonight", "gr8", "great", "pls", "please", "btw", "by the way")))
+    lexicon = F.create_map(*(F.lit(x) for pair in LEXICON.items() for x in pair))
     return _texts(spark, d).select("tweet_id", tx.prepare_untagged(F.col("text"), lexicon).alias("text")).where("text IS NOT NULL")
 
 
@@ -156,7 +161,22 @@ _SPLIT = "string_split(text, ' ')"
 _BARE = "list_filter({0}, lambda w: NOT (starts_with(w, '@') OR starts_with(w, 'http') OR lower(w) = 'rt' OR w = ''))"
 _FLAGS = "list_filter(list_transform({0}, lambda w: CASE WHEN starts_with(w, '@') THEN '@usr' WHEN starts_with(w, 'http') THEN 'URL' WHEN starts_with(w, '#') THEN '#hash' ELSE w END), lambda w: w <> '')"
 
+_TAGGED = tagged_sql(_TEXTS, "tweet_id")
+_SHORTHAND = " ".join(f"WHEN w = '{k}' THEN '{v}'" for k, v in LEXICON.items())
+
 ORACLE = {
+    "repeat_norm": f"WITH RECURSIVE {repeats_sql(_TOKENS.replace('AS word', 'AS s'))} SELECT s AS word, out AS normal FROM short WHERE s <> out",
+    "tag_map": f"""WITH {_TAGGED} SELECT tag, count(*) AS n, CASE {listed(tagging.COARSE, 'tag')} ELSE tag END AS coarse, round(100 * count(*) / sum(count(*)) OVER (), 3) AS pct
+        FROM (SELECT unnest(tags) AS tag FROM tagged) GROUP BY tag""",
+    "tag_prep": f"""WITH {_TAGGED},
+        flat AS (SELECT list_filter(string_split(replace(replace(trim(regexp_replace(array_to_string(list_transform(range(1, len(words) + 1), lambda i: words[i] || '_' || tags[i]), ' '),
+            '\\s+', ' ', 'g')), '_', '/'), '/USR', '/NN'), ' '), lambda w: split_part(w, '/', -1) NOT IN ('RT', 'URL')) AS w FROM tagged)
+        SELECT CASE WHEN len(w) = 0 OR (len(w) = 1 AND starts_with(w[1], '@')) THEN '---/P' ELSE array_to_string(w, ' ') END AS line, count(*) AS n FROM flat GROUP BY 1""",
+    "lexicon_map": f"""WITH bare AS (SELECT tweet_id, text, string_split(regexp_replace(regexp_replace(text, '^(?:#[^ ]* ?)+', ''), '(?: #)+$', ''), ' ') AS w FROM ({_TEXTS})),
+        mapped AS (SELECT *, list_transform(list_transform(list_filter(w, lambda w: w <> 'RT' AND NOT contains(w, '://')), lambda w: replace(w, '#', '')),
+            lambda w: CASE {_SHORTHAND} ELSE w END) AS m FROM bare)
+        SELECT tweet_id, array_to_string(m, ' ') AS text FROM mapped
+        WHERE len(string_split(text, ' ')) > 1 AND len(w) > 1 AND NOT (len(w) = 2 AND len(list_filter(w, lambda w: starts_with(w, '@'))) > 0) AND len(m) > 1""",
     "clean_text": f"""SELECT tweet_id, text FROM (
         SELECT tweet_id, array_to_string(list_transform(list_filter(list_transform({_SPLIT}, lambda w: {_clean('w')}), lambda w: w IS NOT NULL), lambda w: {_space('w')}), ' ') AS text
         FROM ({_TEXTS})) WHERE length(text) >= 1 AND len({_BARE.format(_SPLIT)}) > 0 AND NOT (len({_SPLIT}) = 1 AND starts_with(text, '#'))""",
