@@ -5,7 +5,7 @@ All return null for null, and the empty string or array for empty text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -160,6 +160,11 @@ def anonymize_mentions(words: Column) -> Column:
     return F.transform(kept, lambda w: F.replace(F.when(w.startswith("@") & (F.length(w) > 1), "@usr").otherwise(w), F.lit("|"), F.lit("")))
 
 
+def stem_tokens(tokens: Column, stemmer: Callable[[Column], Column]) -> Column:
+    """Each token by a stemmer of the caller's, a function of a Column."""
+    return F.transform(tokens, lambda t: stemmer(t))
+
+
 def drop_words(tokens: Column, words: Column) -> Column:
     return F.filter(tokens, lambda w: ~F.array_contains(words, w))
 

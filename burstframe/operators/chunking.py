@@ -13,18 +13,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 END = ("ZZZ", "ZZZ", "Z")
-#: Parts of speech inside noun phrases; POS and WRB begin one, unknown ones are inside.
-INSIDE = "# $ CD DT EX FW JJ JJR JJS NN NNP NNPS NNS PDT PRP PRP$ RBS WDT WP WP$ USR HT".split()
-OUTSIDE = "'' ( ) , . : -LRB- -RRB- CC IN MD RB RBR RP SYM TO UH URL RT VB VBD VBG VBN VBP VBZ ``".split()
-POS_TAGS = dict.fromkeys(INSIDE, "I") | dict.fromkeys(OUTSIDE, "O") | dict.fromkeys(("POS", "WRB"), "B")
-#: A small rule set of our own; a larger one can be given as lines of the same form.
+#: The chunk tag that each Penn tag begins with, and of the tags that tweets add.
+POS_TAGS = {
+    "#": "I", "$": "I", "''": "O", "(": "O", ")": "O", ",": "O", "-LRB-": "O", "-RRB-": "O", ".": "O", ":": "O", "CC": "O", "CD": "I", "DT": "I",
+    "EX": "I", "FW": "I", "HT": "I", "IN": "O", "JJ": "I", "JJR": "I", "JJS": "I", "MD": "O", "NN": "I", "NNP": "I", "NNPS": "I", "NNS": "I", "PDT": "I",
+    "POS": "B", "PRP": "I", "PRP$": "I", "RB": "O", "RBR": "O", "RBS": "I", "RP": "O", "RT": "O", "SYM": "O", "TO": "O", "UH": "O", "URL": "O", "USR": "I",
+    "VB": "O", "VBD": "O", "VBG": "O", "VBN": "O", "VBP": "O", "VBZ": "O", "WDT": "I", "WP": "I", "WP$": "I", "WRB": "B", "``": "O",
+}
+#: A small rule set of our own; a larger one can be given as lines of the same form, or read from a file.
 RULES = (
-    "T0P0P1 I PRP VBD I", "T0P0P1 O VBG NN I", "T0P0P1 O VBN NN I", "T_1T0P0 I I DT B", "T_1T0P0 I I PRP$ B", "T_1T0P0 I I PRP B",
+    "T0P0P1 I PRP VBD I", "T0P0P1 O VBG NN I", "T0P0P1 O VBN NN I", "T_1T0P0 I I DT B", "T_1T0P0 I I PRP$ B", "T_1T0P0P1 I I EX VBZ B",
     "T0P0P1 O RB JJ I", "T0P0P_1 I EX VBD O", "T0W0P1 I that VBD I", "T0P0P1P2 O CC NN ZZZ O", "T0P0W_1 I CD half I", "T_1T0P0P1 I I WDT VBD B",
 )
 _PART = re.compile(r"([TWP])((?:_?[0-3])+)")
@@ -56,6 +59,13 @@ def parse_rule(line: str) -> Rule:
     return Rule(tuple(parts), fields[-1], min([0, *offsets]), max([0, *offsets]))
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The rules of a text file in their order, one a line; blank lines are skipped. Rules are applied one after the other to
+    every sentence, so there are thousands at most, and they go to every task."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("place", "line")).where("trim(line) <> ''")
+    return tuple(r.line for r in lines.orderBy("place").collect())
+
+
 class Chunker:
     def __init__(self, rules: tuple[str, ...] = RULES, pos_tags: dict[str, str] | None = None, unknown: str = "I") -> None:
         self.rules = [parse_rule(r) for r in rules if r.strip()]
@@ -97,6 +107,15 @@ def np_chunks(tokens: Column, rules: tuple[str, ...] = RULES) -> Column:
     return run(F.transform(tokens, lambda t: t.word), F.transform(tokens, lambda t: t.tag))
 
 
+def annotations(tokens: Column, spans: Column) -> Column:
+    """ARRAY<STRUCT<start, end, text>>: the phrases as annotations of the sentence whose tokens stand with one space between:
+    characters from start to before end."""
+    words = F.transform(tokens, lambda t: t.word)
+    start = lambda i: F.length(F.array_join(F.slice(words, 1, i), " ")) + F.when(i > 0, 1).otherwise(0)
+    text = lambda s: F.array_join(F.slice(words, s.st + 1, s.ed - s.st + 1), " ")
+    return F.transform(spans, lambda s: F.struct(start(s.st).alias("start"), (start(s.st) + F.length(text(s))).alias("end"), text(s).alias("text")))
+
+
 def bracketed(tokens: Column, spans: Column) -> Column:
     """[ a/DT b/NN ] c/VB: the text form."""
     opened = lambda i: F.when(F.exists(spans, lambda s: s.st == i), "[ ").otherwise("")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from burstframe.functions import text as tx
+from burstframe.operators.chunking import RULES, Chunker
 from burstframe.operators.tagging import lookup
 
 JVM_TOKENS = 300
@@ -186,6 +187,21 @@ def frames(sentences: DataFrame, phrases: str = "phrases") -> DataFrame:
     return sentences.withColumn("frames", found).where(F.size("frames") > 0)
 
 
+def chunked_frames(sentences: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """Adds phrases and frames to rows with tokens, in one pass over each sentence; rows as frames keeps them."""
+
+    @F.pandas_udf(StructType([StructField("phrases", ArrayType(_SPAN)), StructField("frames", _FRAMES)]))
+    def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        chunker = Chunker(rules)
+        for words, tags in columns:
+            rows = [(list(w), list(t)) for w, t in zip(words, tags, strict=True)]
+            spans = [chunker.spans(w, t) for w, t in rows]
+            yield pd.DataFrame({"phrases": [[{"st": a, "ed": b} for a, b in s] for s in spans], "frames": [extract(w, t, s) for (w, t), s in zip(rows, spans, strict=True)]})
+
+    made = run(F.transform("tokens", lambda t: t.word), F.transform("tokens", lambda t: t.tag))
+    return sentences.withColumn("_made", made).select(*sentences.columns, "_made.phrases", "_made.frames").where(F.size("frames") > 0)
+
+
 def with_phrases(sentences: DataFrame, chunks: DataFrame, keys: list[str], phrases: str = "phrases") -> DataFrame:
     """Adds phrases to sentences from a table of them, by the keys of a sentence; null for one that has no row there."""
     return sentences.join(chunks.select(*keys, phrases).dropDuplicates(keys), keys, "left")

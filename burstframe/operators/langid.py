@@ -242,3 +242,27 @@ def train(
     prior = bayes_prior(corpus)
     counts = postings(corpus, "lang", tokenizer, term_frequency=True, features=features)
     return features, prior, bayes_likelihood(counts, features, prior)
+
+
+def merge_postings(*posted: DataFrame) -> DataFrame:
+    """(term, class, n) of several tables of postings together, as of the parts of a corpus."""
+    every = posted[0].select("term", "class", "n")
+    for more in posted[1:]:
+        every = every.unionByName(more.select("term", "class", "n"))
+    return every.groupBy("term", "class").agg(F.sum("n").alias("n"))
+
+
+def items(corpus: DataFrame) -> DataFrame:
+    """(domain, lang, doc), distinct."""
+    return corpus.select("domain", "lang", "doc").distinct()
+
+
+def save_model(path: str, features: DataFrame, prior: DataFrame, likelihood: DataFrame) -> None:
+    """The trained model as three tables under a folder."""
+    for name, table in (("features", features), ("prior", prior), ("likelihood", likelihood)):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(features, prior, likelihood) as save_model wrote them, as classify takes them."""
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("features", "prior", "likelihood"))  # type: ignore[return-value]

@@ -50,6 +50,11 @@ def top_rows(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     return rows.orderBy(F.desc(by), key).limit(n)
 
 
+def top_by_entry(rows: DataFrame, vector: str, entry: int, key: str, n: int) -> DataFrame:
+    """The n rows with the largest entry of a vector column, equal ones by key."""
+    return rows.orderBy(F.desc(F.get(vector, F.lit(entry))), key).limit(n)
+
+
 def top_in_groups(rows: DataFrame, groups: Sequence[str], by: str, key: str, n: int) -> DataFrame:
     """The n largest of each group, equal ones by key, with their rank."""
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*groups).orderBy(F.desc(by), key)))

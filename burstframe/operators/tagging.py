@@ -28,12 +28,14 @@ LEXICON = {
     "UH": "oh wow well lol",
     "JJ": "new old last big final quiet huge small long late early free blue red broken wrong second main local",
 }
-#: Penn tags and the coarse tags of Twitter taggers.
-COARSE = {
-    "N": "NN NNS", "O": "PRP WP", "^": "NNP NNPS", "V": "MD VB VBD VBG VBN VBP VBZ", "A": "JJ JJR JJS", "R": "WRB RB RBR RBS",
-    "!": "UH", "D": "WDT DT WP$ PRP$", "P": "IN TO", "&": "CC", "T": "RP", "X": "EX PDT", "@": "USR", "~": "RT", "U": "URL",
-    "$": "CD", ",": "# $ . , : '' `` -LRB- -RRB- ( )", "G": "FW POS SYM LS",
+#: Penn tags and the coarse tag of each in the tag set of tweets; of two for one tag the later counts.
+COARSE_OF = {
+    "#": ",", "$": ",", "''": ",", "(": ",", ")": ",", ",": ",", "-LRB-": ",", "-RRB-": ",", ".": ",", ":": ",", "CC": "&", "CD": "$", "DT": "D",
+    "EX": "X", "FW": "G", "IN": "P", "JJ": "A", "JJR": "A", "JJS": "A", "LS": "G", "MD": "V", "NN": "N", "NNP": "^", "NNPS": "^", "NNS": "N", "PDT": "X",
+    "POS": "G", "PRP": "O", "PRP$": "D", "RB": "R", "RBR": "R", "RBS": "R", "RP": "T", "RT": "~", "SYM": "G", "TO": "P", "UH": "!", "URL": "U", "USR": "@",
+    "VB": "V", "VBD": "V", "VBG": "V", "VBN": "V", "VBP": "V", "VBZ": "V", "WDT": "D", "WP": "O", "WP$": "D", "WRB": "R", "``": ",",
 }
+COARSE = {coarse: " ".join(t for t, c in COARSE_OF.items() if c == coarse) for coarse in dict.fromkeys(COARSE_OF.values())}
 
 
 def sentences(text: Column) -> Column:

@@ -22,7 +22,7 @@ def _chunked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
-    return frames.frames(_chunked(spark, d))
+    return frames.chunked_frames(_sentences(spark, d))
 
 
 def _codes(spark: SparkSession, d: str) -> DataFrame:

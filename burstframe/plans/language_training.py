@@ -208,10 +208,10 @@ lang_cells AS (SELECT term, class, coalesce(n, 0) AS a, df - coalesce(n, 0) AS b
 lang_gain AS (SELECT term, class, ln(t) - ({_X.format('m')} + {_X.format('(t - m)')}) / t
     - (CASE WHEN a + b > 0 THEN (a + b) * (ln(a + b) - ({_X.format('a')} + {_X.format('b')}) / (a + b)) ELSE 0 END
      + CASE WHEN c + d > 0 THEN (c + d) * (ln(c + d) - ({_X.format('c')} + {_X.format('d')}) / (c + d)) ELSE 0 END) / t AS ig FROM lang_cells)"""
-_LD = f"""{_GAINS},
+LD = f"""{_GAINS},
 features AS (SELECT DISTINCT term FROM (SELECT term, row_number() OVER (PARTITION BY class ORDER BY round(l.ig - g.ig, 12) DESC, term) AS r
     FROM lang_gain l JOIN domain_gain g USING (term)) WHERE r <= {PER_LANG})"""
-_NB = f"""{_LD},
+_NB = f"""{LD},
 prior AS (SELECT lang, ln(count(*)) AS logp FROM corpus GROUP BY lang),
 tf AS (SELECT term, lang, count(*) AS n FROM hits SEMI JOIN features USING (term) GROUP BY 1, 2),
 grid AS (SELECT term, lang, coalesce(n, 0) AS n FROM features CROSS JOIN prior LEFT JOIN tf USING (term, lang)),
@@ -248,7 +248,7 @@ ORACLE = {
     "df_select_all": f"WITH {_TERMS} SELECT term, df FROM df ORDER BY df DESC, term LIMIT {PER_ORDER}",
     "ig_domain": f"WITH {_GAINS} SELECT term, round(ig, 8) AS ig FROM domain_gain",
     "ig_lang_bin": f"WITH {_GAINS} SELECT term, class, round(ig, 8) AS ig FROM lang_gain",
-    "ld_select": f"WITH {_LD} SELECT term FROM features",
+    "ld_select": f"WITH {LD} SELECT term FROM features",
     "nb_prior": f"WITH {_CORPUS} SELECT lang, round(ln(count(*)), 8) AS logp FROM corpus GROUP BY lang",
     "nb_ptc": f"WITH {_NB} SELECT term, lang, round(logp, 8) AS logp FROM ptc",
     "nb_classify": f"""WITH {_NB}, doc_tf AS (SELECT id, term, count(*) AS tf FROM hits SEMI JOIN features USING (term) GROUP BY 1, 2),
@@ -264,7 +264,7 @@ ORACLE = {
     "bl_weights": f"""WITH {_NB}, soft AS (SELECT term, lang, exp(logp) / sum(exp(logp)) OVER (PARTITION BY lang) AS p FROM ptc),
         sums AS (SELECT term, sum(p) AS z FROM soft GROUP BY term)
         SELECT a.lang AS lang1, b.lang AS lang2, term, round(abs(a.p - b.p) / z, 8) AS weight FROM soft a JOIN soft b USING (term) JOIN sums USING (term) WHERE a.lang < b.lang""",
-    "feature_table": f"""WITH {_LD} SELECT term, (length(term) // 2)::INT AS length, df, round(g.ig, 8) AS ig_domain, round(max(l.ig), 8) AS ig_lang, count(*)::INT AS n_langs
+    "feature_table": f"""WITH {LD} SELECT term, (length(term) // 2)::INT AS length, df, round(g.ig, 8) AS ig_domain, round(max(l.ig), 8) AS ig_lang, count(*)::INT AS n_langs
         FROM features JOIN df USING (term) JOIN domain_gain g USING (term) JOIN lang_gain l USING (term) GROUP BY term, df, g.ig""",
-    "top_features": f"""WITH {_LD} SELECT term, round(max(l.ig), 8) AS ig_lang FROM features JOIN lang_gain l USING (term) GROUP BY term ORDER BY 2 DESC, term LIMIT 25""",
+    "top_features": f"""WITH {LD} SELECT term, round(max(l.ig), 8) AS ig_lang FROM features JOIN lang_gain l USING (term) GROUP BY term ORDER BY 2 DESC, term LIMIT 25""",
 }

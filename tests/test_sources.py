@@ -47,3 +47,28 @@ def test_files(spark, tmp_path):
     readers.write_table(df, str(tmp_path / "table"))
     (tmp_path / "w.csv").write_text("x,NaN\ny,1.5\n")
     assert sorted(tuple(r) for r in readers.read_weights(spark, str(tmp_path / "w.csv")).collect()) == [("x", 0.0), ("y", 1.5)]
+
+
+def test_parts_of_folders(spark, tmp_path):
+    for name in ("tweet_01", "tweet_02", "other_01", "tweet_03"):
+        (tmp_path / name).write_text(f"{name}\nsecond")
+    got = readers.day_lines(spark, str(tmp_path), ["01", "03"], "tweet_").where("line_no = 0")
+    assert sorted(r.line for r in got.collect()) == ["tweet_01", "tweet_03"]
+    folder = tmp_path / "c" / "news" / "en"
+    folder.mkdir(parents=True)
+    (folder / "d1").write_text("one")
+    (folder / "d2").write_text("two")
+    (tmp_path / "list").write_text(f"{folder}/d2\n\n")
+    assert [tuple(r) for r in readers.corpus_from_list(spark, str(tmp_path / "list")).collect()] == [("news", "en", "d2", "two")]
+    (tmp_path / "none").write_text("\n")
+    assert readers.corpus_from_list(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_vectors_and_pairs_of_files(spark, tmp_path):
+    df = spark.createDataFrame([("b", [1.0, float("nan")]), ("a", [2.0])], "term string, weight array<double>")
+    readers.write_weights(df, str(tmp_path / "v"))
+    assert sorted((r.term, r.weight) for r in readers.read_vectors(spark, str(tmp_path / "v"), 2).collect()) == [("a", [2.0, None]), ("b", [1.0, 0.0])]
+    rows = spark.createDataFrame([("2", "x\ny"), ("1", None), ("2", "x\ny")], "id string, text string")
+    readers.write_id_text(rows, str(tmp_path / "p"), "id", "text")
+    read = lambda name: [r.value for r in spark.read.text(str(tmp_path / "p" / name)).collect()]
+    assert read("ids") == ["1", "2", "2"] and read("texts") == ["", "x y", "x y"]
