@@ -89,13 +89,22 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(texts, names, _key(spark), surnames)
 
 
+def _vocabulary(spark: SparkSession) -> str:
+    return spark.conf.get("spark.burstframe.vocabulary", tokenizer.DEFAULT_VOCABULARY)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenizer.token_ids(table(spark, d, "documents"), "doc_id", "text")
+    return tokenizer.token_ids(table(spark, d, "documents"), "doc_id", "text", _vocabulary(spark))
+
+
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts, decoded from their ids."""
+    return tokenizer.decoded(p7_ids(spark, d), "doc_id", "ids", _vocabulary(spark))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return packing.containers(tokenizer.token_counts(documents, "doc_id", "text"), "doc_id", documents.count())
+    documents = table(spark, d, "documents")  # counted by the files' footers
+    return packing.containers(tokenizer.token_counts(documents, "doc_id", "text", _vocabulary(spark)), "doc_id", documents.count())
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_segments, p2_found, p2_forms, p2_classes, p3_found, p3_terms, p4_found, p4_scores, p6_found, p6_redacted,
-        p7_ids, p8_containers, p8_report, p9_found, p9_sources,
+        p7_ids, p7_texts, p8_containers, p8_report, p9_found, p9_sources,
     )
 }
 
@@ -152,6 +161,7 @@ scored AS (
     FROM both_sides)"""
 
 ORACLE: dict[str, str] = {
+    "p7_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_found": f"WITH {_FIELDS} {_MARKED}",
     "p3_terms": f"""WITH {_FIELDS} SELECT field, term, n_occurrences, n_records, m.mark
         FROM marks LEFT JOIN ({_MARKED}) m USING (field, term)""",

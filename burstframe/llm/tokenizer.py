@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Where the vocabulary lies if neither a path nor the session's spark.burstframe.vocabulary names it.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pattern that cuts a text into pieces.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -228,3 +229,17 @@ def token_ids(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABULARY
 def token_counts(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(key, n_tokens) of every row."""
     return _encoded(df, key, text, path, lists=False)
+
+
+def decoded(df: DataFrame, key: str, ids: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """(key, text) of rows with token ids; null and empty lists give an empty text."""
+    file = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    pairs = df.select(F.col(key).alias("id"), F.col(ids).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = encoder(file.value).decode
+        for batch in batches:
+            texts = [decode(own) if own else "" for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
+
+    return pairs.mapInArrow(run, f"id {pairs.schema['id'].dataType.simpleString()}, text STRING").withColumnRenamed("id", key)
