@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,11 +24,30 @@ TWEET_DDL = (
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of text files. Line numbers are counted within each file, so a file is read by one task."""
+    """(path, line_no, line) of text files. Line numbers are counted within each file, so a file is read by one task; where
+    only the first line matters, data_lines reads large files in parts."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
+def data_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line) of text files without the first line of each. Files are split as the reader sees fit: the first line of
+    a file is the first of the part that begins at its start, so no part needs to know of the others."""
+    parts = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for batch in batches:
+            names, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            kept = []
+            for place in zip(names, starts, strict=True):
+                kept.append(place == seen or place[1] != 0)
+                seen = place
+            yield batch.select([0, 2]).filter(pa.array(kept, pa.bool_()))
+
+    return parts.mapInArrow(run, "path STRING, line STRING")
+
+
 def day_lines(spark: SparkSession, path: str, days: list[str], prefix: str = "") -> DataFrame:
     """(path, line_no, line) of the text files of a folder whose names begin with the prefix and end in one of the days.
     Other files are not opened."""

@@ -72,3 +72,18 @@ def test_vectors_and_pairs_of_files(spark, tmp_path):
     readers.write_id_text(rows, str(tmp_path / "p"), "id", "text")
     read = lambda name: [r.value for r in spark.read.text(str(tmp_path / "p" / name)).collect()]
     assert read("ids") == ["1", "2", "2"] and read("texts") == ["", "x y", "x y"]
+
+
+def test_files_in_parts(spark, tmp_path):
+    """However small the parts are, each file loses its first line only."""
+    for k in range(3):
+        (tmp_path / f"f{k}").write_text("".join(f"{k}-{i} " + "x" * (i % 40) + "\n" for i in range(400)))
+    (tmp_path / "empty").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1500b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = sorted(r.line.split()[0] for r in readers.data_lines(spark, str(tmp_path)).collect())
+            assert got == sorted(f"{k}-{i}" for k in range(3) for i in range(1, 400))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
