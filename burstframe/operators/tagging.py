@@ -58,27 +58,32 @@ def lookup(table: dict[str, str], word: Column) -> Column:
 
 
 def tag_of(word: Column) -> Column:
+    """The tag of a token of tokens(). Tests are comparisons of ends and lengths; a regular expression is left only for the
+    marks, which are single characters."""
     low = F.lower(word)
     known = lookup(LEXICON, low)
+    first = F.substring(word, 1, 1)
+    ends = lambda end, more: F.endswith(low, F.lit(end)) & (F.length(low) >= len(end) + more)
     shape = (
         F.when(word.startswith("http"), "URL")
-        .when(word.startswith("@") & (F.length(word) > 1), "USR")
-        .when(word.startswith("#") & (F.length(word) > 1), "HT")
+        .when((first == "@") & (F.length(word) > 1), "USR")
+        .when((first == "#") & (F.length(word) > 1), "HT")
         .when(low == "rt", "RT")
-        .when(word.rlike(r"^[,;:]$"), F.when(word == ",", ",").otherwise(":"))
-        .when(word.rlike(r"^[.!?…]$"), ".")
+        .when(word == ",", ",")
+        .when(word.isin(";", ":"), ":")
+        .when(word.isin(".", "!", "?", "…"), ".")
         .when(word == "(", "-LRB-")
         .when(word == ")", "-RRB-")
-        .when(word.rlike(r"^[^\p{L}\p{N}_]+$"), "SYM")
-        .when(word.rlike(r"^[0-9]"), "CD")
-        .when(word.rlike(r"[^ -~]"), "FW")
+        .when((F.length(word) == 1) & word.rlike(r"[^\p{L}\p{N}_]"), "SYM")
+        .when(first.between("0", "9"), "CD")
+        .when(F.octet_length(word) > F.char_length(word), "FW")
     )
     suffix = (
-        F.when(low.rlike("^..+ing$"), "VBG")
-        .when(low.rlike("^..+ed$"), "VBD")
-        .when(low.rlike("^..+ly$"), "RB")
-        .when(word.rlike("^[A-Z]"), "NNP")
-        .when(low.rlike("^..+[^s]s$"), "NNS")
+        F.when(ends("ing", 2), "VBG")
+        .when(ends("ed", 2), "VBD")
+        .when(ends("ly", 2), "RB")
+        .when(first.between("A", "Z"), "NNP")
+        .when(ends("s", 3) & ~F.endswith(low, F.lit("ss")), "NNS")
         .otherwise("NN")
     )
     return F.coalesce(shape, known, suffix)

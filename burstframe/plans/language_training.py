@@ -28,7 +28,8 @@ class Training:
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return li.index(table(self.spark, self.d, "corpus_item"))
+        """Spread over all cores: the file is small and a text has four n-grams for each of its bytes."""
+        return cut(li.index(table(self.spark, self.d, "corpus_item")).repartition(self.spark.sparkContext.defaultParallelism))
 
     @cached_property
     def domains(self) -> DataFrame:
