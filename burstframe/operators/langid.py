@@ -44,7 +44,8 @@ def word_ngrams(text: Column, low: int = 1, high: int = 3, separator: str = " ")
 
 def sampled(text: Column, count: int, size: int = SAMPLE_SIZE, seed: int = 0) -> Column:
     """`count` pieces of `size` characters from places drawn by a hash of the text."""
-    places = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda k: F.pmod(F.xxhash64(text, k, F.lit(seed)), F.greatest(F.length(text) - size + 1, F.lit(1)).cast("bigint")).cast("int") + 1)
+    drawn = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", text, k.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
+    places = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda k: (drawn(k) % F.greatest(F.length(text) - size + 1, F.lit(1))).cast("int") + 1)
     return F.transform(places, lambda p: F.substring(text, p, F.lit(size)))
 
 

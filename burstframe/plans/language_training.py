@@ -143,6 +143,19 @@ def nb_classify(spark: SparkSession, d: str) -> DataFrame:
     return li.classify(texts, t.prior, t.likelihood, grams).select("doc_key", "lang")
 
 
+def language_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled texts that are classified as one of two languages."""
+    t = Training(spark, d)
+    texts = t.corpus.select(F.concat_ws("/", "domain", "lang", "doc").alias("doc_key"), "text")
+    return li.in_language(texts, li.classify(texts, t.prior, t.likelihood, grams), ["en", "ru"]).select("doc_key")
+
+
+def trained_model(spark: SparkSession, d: str) -> DataFrame:
+    """The likelihoods of the whole course in one call."""
+    _, _, likelihood = li.train(Training(spark, d).corpus, grams)
+    return _hex(likelihood).withColumn("logp", F.round("logp", 8))
+
+
 def tweet_languages(spark: SparkSession, d: str) -> DataFrame:
     """All tweets with a text, classified."""
     t = Training(spark, d)
@@ -180,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lang_coverage, lang_dist, min_domain_prune, corpus_lines, ngram_df, ngram_tf, word_ngrams, word_df, sampled_df, df_select, df_select_all, ig_domain,
-        ig_lang_bin, ld_select, nb_prior, nb_ptc, nb_classify, tweet_languages, english_filter, bl_weights, feature_table, top_features,
+        ig_lang_bin, ld_select, nb_prior, nb_ptc, nb_classify, language_texts, trained_model, tweet_languages, english_filter, bl_weights, feature_table, top_features,
     )
 }
 
@@ -218,6 +231,10 @@ tf AS (SELECT term, lang, count(*) AS n FROM hits SEMI JOIN features USING (term
 grid AS (SELECT term, lang, coalesce(n, 0) AS n FROM features CROSS JOIN prior LEFT JOIN tf USING (term, lang)),
 ptc AS (SELECT term, lang, ln(1 + n) - ln(count(*) OVER (PARTITION BY lang) + sum(n) OVER (PARTITION BY lang)) AS logp FROM grid)"""
 
+_NB_CLASSIFY = f"""WITH {_NB}, doc_tf AS (SELECT id, term, count(*) AS tf FROM hits SEMI JOIN features USING (term) GROUP BY 1, 2),
+        sums AS (SELECT id, lang, sum(tf * logp) AS s FROM doc_tf JOIN ptc USING (term) GROUP BY 1, 2),
+        scored AS (SELECT c.id, p.lang, round(p.logp + coalesce(s, 0), 9) AS score FROM (SELECT DISTINCT id FROM corpus) c CROSS JOIN prior p LEFT JOIN sums ON sums.id = c.id AND sums.lang = p.lang)
+        SELECT id AS doc_key, lang FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS r FROM scored) WHERE r = 1"""
 
 
 def _classified(asked: str) -> str:
@@ -252,10 +269,14 @@ ORACLE = {
     "ld_select": f"WITH {LD} SELECT term FROM features",
     "nb_prior": f"WITH {_CORPUS} SELECT lang, round(ln(count(*)), 8) AS logp FROM corpus GROUP BY lang",
     "nb_ptc": f"WITH {_NB} SELECT term, lang, round(logp, 8) AS logp FROM ptc",
-    "nb_classify": f"""WITH {_NB}, doc_tf AS (SELECT id, term, count(*) AS tf FROM hits SEMI JOIN features USING (term) GROUP BY 1, 2),
-        sums AS (SELECT id, lang, sum(tf * logp) AS s FROM doc_tf JOIN ptc USING (term) GROUP BY 1, 2),
-        scored AS (SELECT c.id, p.lang, round(p.logp + coalesce(s, 0), 9) AS score FROM (SELECT DISTINCT id FROM corpus) c CROSS JOIN prior p LEFT JOIN sums ON sums.id = c.id AND sums.lang = p.lang)
-        SELECT id AS doc_key, lang FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS r FROM scored) WHERE r = 1""",
+    "trained_model": f"WITH {_NB} SELECT term, lang, round(logp, 8) AS logp FROM ptc",
+    "nb_classify": _NB_CLASSIFY,
+    "language_texts": f"SELECT doc_key FROM ({_NB_CLASSIFY}) WHERE lang IN ('en', 'ru')",
+    "sampled_df": f"""WITH {_CORPUS}, pieces AS (SELECT id || '|' || k AS id, lang, lower(hex(encode(substr(text, (('0x' || substr(md5(concat_ws('|', text, k::VARCHAR, '0')), 1, 8))::BIGINT
+            % greatest(length(text) - {li.SAMPLE_SIZE} + 1, 1) + 1)::INT, {li.SAMPLE_SIZE})))) AS h FROM corpus, range(1, 3) r(k)),
+        drawn AS (SELECT DISTINCT id, lang, substr(h, 2 * i - 1, 2 * k) AS term FROM pieces, range(1, {ORDERS + 1}) a(k), LATERAL (SELECT unnest(range(1, length(h) // 2 - k + 2)) AS i)
+            WHERE length(h) // 2 >= {max(1, ORDERS - 1)})
+        SELECT term, lang AS class, count(*) AS n FROM drawn GROUP BY 1, 2""",
     "tweet_languages": f"""WITH {_NB}, asked AS (SELECT id_str AS id, text FROM ({FIRST}) WHERE text IS NOT NULL), {_classified("asked")}
         SELECT lang, count(*) AS n, round(avg(confidence), 4) AS confidence FROM classified GROUP BY lang""",
     "english_filter": f"""WITH {_NB}, tweets AS (SELECT id_str, lang, list_distinct(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}')) AS tokens FROM ({FIRST}) WHERE text IS NOT NULL),
