@@ -48,7 +48,7 @@ _OTHER = re.compile("[Ͱ-ԯ԰-֏Ꭰ-᏿ᲀ-᲏ἀ-῿Ⲁ-⳿ⷠ-ⷿꓐ-꓿Ꙁ-
 _PICTURE = "[\u2190-\u2bff\U0001f000-\U0001faff]"
 _JOINED_PICTURES = re.compile(f"(?<={_PICTURE[:-1]}\ufe0f])\u200d(?={_PICTURE})")
 _PLACE = "\ue000"
-_FIXED = re.compile(r"https?:\S+|www\.\S+|\S*@\S+")
+_FIXED = re.compile(r"https?:\S+|www\.\S+|(?<!\S)\S*@\S+")
 
 
 def _simple() -> dict[int, str | None]:

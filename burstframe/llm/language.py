@@ -52,12 +52,29 @@ NAMES = {
     "it": "it ita italian", "nl": "nl nld dut dutch flemish", "id": "id ind in indonesian", "ru": "ru rus russian",
 }
 _BY_NAME = {n: code for code, names in NAMES.items() for n in names.split()}
-_SKIP = re.compile(r"https?:\S*|www\.\S+|\S+@\S+\.\S+|\S*\[(?:at|dot)\]\S*|\(at\)|[\w+-]+(?:\.[\w-]+)+|[@#$]\w+|&#?\w+;|[^\W_]*\d\w*")
+#: Links, dotted names, mentions, tags, entities and what has digits. Runs are only tried from where they begin, so that
+#: even a piece of very many characters takes as many steps.
+_SKIP = re.compile(r"https?:\S*|www\.\S+|\(at\)|(?<![\w+-])[\w+-]+(?:\.[\w-]+)+|[@#$]\w+|&#?\w+;|(?<![^\W_])[^\W_]*\d\w*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*")
 #: Laughter and shorthand without a language.
 _LAUGH = re.compile(r"(?:[aeh]*(?:h[aeiou]){2,}h?|(?:ja){2,}j?|(?:k){3,}|(?:rs){2,}|(?:wk)+w?|lo+l|lmf?ao|rofl|x+d+|rt|omg|wtf|(?:хa|ха){2,}х?|haha\w*|mdr+|hmm+|o+h+|a+h+)")
 
 
+#: A word of more letters than this with at most so many different ones is laughter or a stretched sound.
+LONG_LAUGH, LAUGH_LETTERS = 100, 4
+
+
+def _readable(token: str) -> str:
+    """A token as it is read, without the pieces that belong to no language: of addresses nothing is left."""
+    pieces = (consistent(token) or "").split()
+    kept = (p for p in pieces if not ("[at]" in p or "[dot]" in p or "." in p[p.find("@", 1) + 2 : -1] and p.find("@", 1) > 0))
+    return " ".join(_SKIP.sub(" ", p) for p in kept)
+
+
+def _is_laugh(word: str) -> bool:
+    return len(set(word)) <= LAUGH_LETTERS if len(word) > LONG_LAUGH else bool(_LAUGH.fullmatch(word))
+
+
 def label_language(label: str | None) -> str | None:
     """The language that a label names, by code or English name, with or without region; else null."""
     return next((_BY_NAME[p] for p in re.split(r"[^a-z]+", (label or "").lower()) if p in _BY_NAME), None)
@@ -160,8 +177,7 @@ class Reader:
         at: list[int] = []
         for n, token in enumerate(new, start):
             self.ids[token] = n
-            read = _SKIP.sub(" ", consistent(token) or "")
-            found = [w for w in _WORD.findall(read) if not _LAUGH.fullmatch(w.lower())]
+            found = [w for w in _WORD.findall(_readable(token)) if not _is_laugh(w.lower())]
             self.words[n] = len(found)
             self.titled[n] = bool(found) and all(w[0].isupper() and not w[1:2].isupper() for w in found)
             for w in found:
@@ -237,7 +253,7 @@ class Reader:
         return [(lang, 0, end), *out[::-1]]
 
     def is_clause(self, tokens: list[str], lang: int) -> bool:
-        words = [w for t in tokens for w in _WORD.findall(_SKIP.sub(" ", consistent(t) or ""))]
+        words = [w for t in tokens for w in _WORD.findall(_readable(t))]
         known = {w.lower() for w in words} & self.trees.known[self.languages[lang]]
         plain = sum(w.lower() in known and (w[0].islower() or (len(w) > 1 and w.isupper())) for w in words)
         return len(words) >= CLAUSE_WORDS and len(known) >= CLAUSE_KNOWN and plain >= CLAUSE_PLAIN

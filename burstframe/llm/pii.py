@@ -13,7 +13,7 @@ the given name it stands for, if only one of that surname does, and else a lette
 collide, or equal a found entity, are drawn again for all but the first in order, and checked again until none do; late
 draws are longer, so that a full space of short ones does not end this.
 
-Null texts stay null, texts without finds are unchanged. Repeated rows count once. An overlap goes to the earlier kind of
+Null texts stay null, texts without finds are unchanged; a null src is a source like any other, rows without rec_id are left out. Repeated rows count once. An overlap goes to the earlier kind of
 email, id_number, phone, street, person.
 """
 
@@ -56,7 +56,7 @@ MASCULINE = set(
 _ODD = re.compile("[ ­̀-֏  -‏ -  -⁯　ﬀ-ﬆ︀-️﻿！-～]")
 _URL = re.compile(r"https?://\S+|(?<!\w)[@#]\w+", re.I)
 _EMAIL = re.compile(
-    r"[\w.+-]*\w(?:@|\s?\(at\)\s?|\s?\[at\]\s?|\s(?:AT)\s)[\w-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sDOT\s)[\w-]+)+"
+    r"(?<![\w.+-])[\w.+-]*\w(?:@|\s?\(at\)\s?|\s?\[at\]\s?|\s(?:AT)\s)[\w-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sDOT\s)[\w-]+)+"
 )
 #: What an identity number is called.
 _ID_LABEL = (
@@ -95,7 +95,7 @@ _STREETS = [
         rf"(?<![\w.,/-])\d{{1,4}}(?: ?(?:bis|ter|[a-d])\b)?,? (?:rue|bd|boulevard|avenue|av\.?|chemin|impasse|place|quai|allée|cours|route|passage|square)\s(?:de la |de l['’]|des |du |de |d['’]|la |le |les )?{_NAME}{_MORE}?",
         # type, name, number
         rf"(?<!\w)(?:calle|c/|c\.|plaza|pza\.?|avenida|avda\.?|paseo|camino|ronda|travesía|rua|praça|via|viale|piazza|corso|jalan|jl\.?|улица|ул\.)\s?(?:de la |de los |de las |del |de |la |el |da |do |dos |das )?{_NAME}(?: {_NAME}){{0,2}}?,? ?(?:n[º°]\.?|n[úu]m\.?|no\.?|nr\.?)? ?{_HOUSE}{_UNIT}",
-        rf"(?<!\w)(?:(?:am|an der|an den|im|in der|auf der|auf dem|zum|zur|unter den) (?:(?:(?:alte|neue|obere|untere)[nrms]?|(?-i:[A-ZÄÖÜ][\w-]*)) )?{_NAME} |[^\W\d_][\w-]*(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|straat|gracht|plein),? (?:nr\.? )?){_HOUSE}{_UNIT}",
+        rf"(?<![\w-])(?:(?:am|an der|an den|im|in der|auf der|auf dem|zum|zur|unter den) (?:(?:(?:alte|neue|obere|untere)[nrms]?|(?-i:[A-ZÄÖÜ][\w-]*)) )?{_NAME} |[^\W\d_][\w-]*(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|straat|gracht|plein),? (?:nr\.? )?){_HOUSE}{_UNIT}",
         # type with a genitive, name, number
         rf"(?<!\w)(?:straße|allee|platz|weg|ufer|promenade|brücke) (?:der|des|am|an der) {_NAME}(?: (?-i:[A-ZÄÖÜ])[\w-]*)?,? (?:nr\.? )?{_HOUSE}{_UNIT}",
     )
@@ -337,7 +337,8 @@ def _own_surnames(texts: DataFrame, surnames: DataFrame) -> DataFrame:
     placed = texts.withColumn("place", F.xxhash64("text"))
     rows = placed.select(*keys, "text").mapInArrow(words, "src STRING, rec_id STRING, place BIGINT, words ARRAY<STRING>")
     own = rows.select(*keys, F.explode("words").alias("surname")).join(surnames, "surname", "left_semi").groupBy(*keys).agg(F.collect_set("surname").alias("own"))
-    return placed.join(own, keys, "left").drop("place")
+    match = placed.src.eqNullSafe(own.src) & (placed.rec_id == own.rec_id) & (placed.place == own.place)
+    return placed.join(own, match, "left").select(placed.src, placed.rec_id, placed.text, "own")
 
 
 def find_entities(texts: DataFrame, names: Names, surnames: DataFrame | None = None, all_rows: bool = False) -> DataFrame:
@@ -678,7 +679,8 @@ def redact(texts: DataFrame, names: Names, key: bytes, surnames: DataFrame | Non
         )
         return F.concat(done.out, F.substring("text", done.at + 1, F.length("text")))
 
-    whole = found.select("src", "rec_id", "text").join(each, ["src", "rec_id"])
+    each = each.select(F.col("src").alias("s"), F.col("rec_id").alias("r"), "parts")
+    whole = found.select("src", "rec_id", "text").join(each, F.col("src").eqNullSafe(F.col("s")) & (F.col("rec_id") == F.col("r")))
     done = whole.select(
         "src", "rec_id", build(lambda p: F.concat(F.lit("["), F.upper(p.kind), F.lit("]"))).alias("placeholder_text"), build(lambda p: p.new).alias("surrogate_text")
     )

@@ -51,7 +51,7 @@ CHUNKS = 12
 _TOKEN = re.compile(r"https?:\S*|(?<!\w)[@#$]\w+|[^\W_]+(?:['’-][^\W_]+)*|[.!?…]+|\n+|[^\s\w]|_")
 _MARK = re.compile(r"(?:�|\\u[0-9a-fA-F]{0,3}|\\u00[0-9a-fA-F]{2}|&#?\w{0,6}|\s[\[{]|\w-|https?:(?:/{0,2}|//[\w.-]*/?\w{0,2}))$")
 _LINK = re.compile(r"\s*https?://[\w.-]+\.\w+/\w{3,}$")
-_DOTS = re.compile(r"\s?(…|\.{3,})$")
+_DOTS = re.compile(r"\s?(…|(?<!\.)\.{3,})$")
 _TAG = re.compile(r"(?:^|\s)([#$]\w+)$")
 _NO_WORD = re.compile(r"https?://\S+$|(?<!\w)@\w+$|\d/\d$|-- [\w ]{1,20}$|[<:;=][\w]$")
 _WORD_END = re.compile(r"\w$")

@@ -73,3 +73,8 @@ def test_classes(spark):
     df = spark.createDataFrame(rows, VALUES)
     assert [tuple(r) for r in c.lookalike_classes(df).collect()] == [("text", "Fox", 2, 3)]
     assert c.lookalike_classes(df.limit(0)).count() == 0
+
+
+def test_very_long_pieces():
+    for text in ("x" * 300_000 + " й", "й" * 200_000, "@" * 100_000 + " й", "й@" * 50_000):
+        assert len(c.consistent(text)) == len(text)

@@ -118,3 +118,12 @@ def test_languages_come_from_the_corpus(spark):
     assert trees.languages == ("en", "xx")
     df = spark.createDataFrame([("a", "1", "XX ", "zub mok lat nol frip"), ("a", "2", "en", "zub mok lat nol frip")], "src string, rec_id string, label string, text string")
     assert [tuple(r) for r in L.wrong_labels(L.identify(df, trees)).collect()] == [("a", "2", "xx")]
+
+
+def test_very_long_pieces(trees):
+    """Pieces without a space take as many steps as characters."""
+    texts = ["x" * 300_000, "x." * 100_000, "ha" * 100_000 + "x", "a-" * 100_000, "9" * 200_000, "x" * 200_000 + "@", "The river lost the harbour lights " + "ab" * 100_000]
+    got = L.Reader(trees).segments(texts)
+    assert [s[0] for s in got[-1]] == ["en"] and not got[4]
+    assert L._readable("a@b.example") == L._readable("x[at]b[dot]c") == "" and L._readable("@who").strip() == ""
+    assert L._readable("so@b") != "" and L._readable("a.b.c").strip() == "" and L._readable("don't") == "don't"

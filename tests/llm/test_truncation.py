@@ -106,3 +106,8 @@ def test_share_of_a_growing_corpus(spark):
     whole = ["The storm passed over the harbour lights."] * 300 + ["We saw the."]
     found = {r.doc_id for r in t.cut_documents(documents(spark, [*whole, "The storm passed over the"])).collect()}
     assert found == {301}
+
+
+def test_very_long_pieces():
+    for text in ("x" * 300_000, "." * 200_000 + "x", "a-" * 100_000, "http://" + "a." * 100_000, "#" + "a" * 200_000, "x " * 100_000, "\u200b" * 100_000):
+        t.tail_of(text)
