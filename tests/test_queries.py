@@ -1,5 +1,6 @@
 """Every core query against its SQL on the smallest tables; queries without SQL only have to run."""
 
+import functools
 from pathlib import Path
 
 import duckdb
@@ -27,6 +28,17 @@ def con():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def steps_made_once():
+    """The queries of one course share its steps here; each query by itself makes them anew."""
+    from burstframe.plans import bursts, language_training
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bursts, "Course", functools.cache(bursts.Course))
+        patch.setattr(language_training, "Training", functools.cache(language_training.Training))
+        yield
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="test tables are missing")
 @pytest.mark.parametrize("name", sorted(core()))
 def test_query(spark, con, name):
