@@ -8,14 +8,16 @@ its regular expressions need stack in proportion to a match, so longer ones are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from burstframe.functions import text as tx
+from burstframe.operators import tagging
 from burstframe.operators.chunking import RULES, Chunker
 from burstframe.operators.tagging import lookup
 
@@ -68,6 +70,40 @@ def _python_spans(code: str) -> list[dict[str, int]]:
     return [{"st": s, "ed": e} for s, e in sorted(ends.items())]
 
 
+def _merged(spans: list[dict[str, int]]) -> list[dict[str, int]]:
+    """merge_spans() of spans in order, in Python."""
+    out: list[dict[str, int]] = []
+    for s in spans:
+        if out and s["st"] <= out[-1]["ed"]:
+            out[-1]["ed"] = max(out[-1]["ed"], s["ed"])
+        else:
+            out.append(dict(s))
+    return out
+
+
+def merged_code_spans(codes: DataFrame) -> DataFrame:
+    """(code, st, ed): the merged verb spans of each (code)."""
+    return _span_rows(codes, lambda code: _merged(_python_spans(code)))
+
+
+def _span_rows(codes: DataFrame, find: Callable[[str], list[dict[str, int]]]) -> DataFrame:
+    """Rows are made in the pass that finds the spans: an array to inline would be found again by the filter on its size that
+    the planner moves below the count of codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(code, s["st"], s["ed"]) for code in batch.column(0).to_pylist() if code for s in find(code)]
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)], ["code", "st", "ed"])
+
+    return codes.select("code").mapInArrow(run, "code STRING, st INT, ed INT")
+
+
+def sentence_codes(texts: DataFrame) -> DataFrame:
+    """(code): the distinct tag codes of the sentences of (text)."""
+    return tagging.sentence_counts(texts, lambda _word, tag: _CODE_OF.get(tag, "X")).select(F.col("key").alias("code"))
+
+
 def verb_spans(tags: Column) -> Column:
     """The longest span from each place where a short or a long relation begins, in order."""
     code = tag_code(tags)
@@ -150,12 +186,7 @@ def extract(words: list[str], tags: list[str], phrases: list[Span]) -> list[dict
     if any(t.startswith("FW") for t in tags):
         return []
     code = "".join(_CODE_OF.get(t, "X") for t in tags)
-    verbs: list[list[int]] = []
-    for s in _python_spans(code):
-        if verbs and s["st"] <= verbs[-1][1]:
-            verbs[-1][1] = max(verbs[-1][1], s["ed"])
-        else:
-            verbs.append([s["st"], s["ed"]])
+    verbs = [(s["st"], s["ed"]) for s in _merged(_python_spans(code))]
     refined = [p for span in phrases for p in refine_phrase(tags, span)]
     out = []
     for st, ed in verbs:

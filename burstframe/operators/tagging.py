@@ -1,7 +1,13 @@
-"""Sentences and part-of-speech tags by a small deterministic tagger, all in Column expressions."""
+"""Sentences and part-of-speech tags by a small deterministic tagger, in Column expressions; counts of equal sentences are
+made in one Arrow pass with the same rules in Python."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,3 +123,79 @@ def proper_noun_end(tokens_: Column, end: Column) -> Column:
     return F.get(tokens_, end).tag.startswith("NNP")
 
 
+#: The patterns of sentences() and tokens(): Python's letters and digits are those of L and N, its spaces are not those of the JVM.
+_SPACE = r" \t\n\x0b\f\r"
+_BREAK = re.compile(rf"(?<=[.!?])[{_SPACE}]+|\n+")
+_TOKEN = re.compile(rf"https?://[^{_SPACE}]+|[@#][A-Za-z0-9_]+|\w+(?:['’-]\w+)*|[^{_SPACE}\w]")
+_MARKS = {",": ",", ";": ":", ":": ":", ".": ".", "!": ".", "?": ".", "…": ".", "(": "-LRB-", ")": "-RRB-"}
+_TAG_OF: dict[str, str] = {}
+for _tag, _words in LEXICON.items():
+    for _word in _words.split(" "):
+        _TAG_OF.setdefault(_word, _tag)
+#: Words whose labels a worker keeps.
+MAX_WORDS = 100_000
+
+
+def split_sentences(text: str) -> list[str]:
+    """sentences() of a text, in Python."""
+    return [s for s in (p.strip(" ") for p in _BREAK.split(text)) if s]
+
+
+def split_tokens(sentence: str) -> list[str]:
+    """tokens() of a sentence, in Python."""
+    return _TOKEN.findall(sentence)
+
+
+def word_tag(word: str) -> str:
+    """tag_of() of a token, in Python."""
+    low = word.lower()
+    if word.startswith("http"):
+        return "URL"
+    if len(word) > 1 and word[0] in "@#":
+        return "USR" if word[0] == "@" else "HT"
+    if low == "rt":
+        return "RT"
+    if word in _MARKS:
+        return _MARKS[word]
+    if len(word) == 1 and word != "_" and not word.isalnum():
+        return "SYM"
+    if "0" <= word[0] <= "9":
+        return "CD"
+    if not word.isascii():
+        return "FW"
+    if low in _TAG_OF:
+        return _TAG_OF[low]
+    for end, tag in (("ing", "VBG"), ("ed", "VBD"), ("ly", "RB")):
+        if low.endswith(end) and len(low) >= len(end) + 2:
+            return tag
+    if "A" <= word[0] <= "Z":
+        return "NNP"
+    return "NNS" if len(low) >= 4 and low[-1] == "s" and low[-2] != "s" else "NN"
+
+
+class _Labels(dict):
+    """Labels of words, made when first met. Links, mentions and hashtags are not kept, they rarely come again."""
+
+    def __init__(self, label: Callable[[str, str], str]) -> None:
+        self.label = label
+
+    def __missing__(self, word: str) -> str:
+        tag = word_tag(word)
+        out = self.label(word, tag)
+        if len(self) < MAX_WORDS and tag not in ("URL", "USR", "HT"):
+            self[word] = out
+        return out
+
+
+def sentence_counts(texts: DataFrame, label: Callable[[str, str], str], separator: str = "") -> DataFrame:
+    """(key, n): how many sentences of (text) have the same labels of words and tags, the key being the labels joined. Equal
+    sentences are counted before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = _Labels(label)
+        for batch in batches:
+            counts = Counter(separator.join(map(labels.__getitem__, split_tokens(s))) for text in batch.column(0).to_pylist() for s in split_sentences(text))
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["key", "n"])
+
+    rows = texts.where("text IS NOT NULL").select("text").mapInArrow(run, "key STRING, n BIGINT")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))

@@ -40,8 +40,7 @@ def verb_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_spans(spark: SparkSession, d: str) -> DataFrame:
-    rows = _codes(spark, d).select(frames.tag_code(F.col("tags")).alias("code"), frames.merge_spans(frames.verb_spans(F.col("tags"))).alias("spans"))
-    return rows.select("code", F.inline("spans")).distinct()
+    return frames.merged_code_spans(frames.sentence_codes(placed_tweets(spark, d)))
 
 
 def span_relations(spark: SparkSession, d: str) -> DataFrame:

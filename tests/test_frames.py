@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstframe.operators import chunking, frames, tagging
+from burstframe.plans import framing
 
 TAGS = ["NN", "VBD", "IN", "RB", "MD", "VBG", "RP", "TO", "PRP$", "DT", "$", "JJ", ",", "NNP", "RBR"]
 VERBS, GERUNDS = {"MD", "VB", "VBD", "VBP", "VBZ"}, {"VBG", "VBN"}
@@ -178,3 +179,41 @@ def test_one_pass_is_as_two(spark):
     two = frames.frames(rows.withColumn("phrases", chunking.np_chunks(F.col("tokens"))))
     assert sorted(map(str, frames.chunked_frames(rows).collect())) == sorted(map(str, two.collect()))
     assert frames.with_phrases(rows.drop("phrases"), two, ["id", "sentence"]).count() == rows.count()
+
+
+ODD_TEXTS = [
+    "The old bridge crossed my river.  It fell!? \n\n @bob ran up #home http://t.co/a.b RT x", "a. b c!\u000bd\te . ... f\n.", "", " ", "\t", "\n \n", None, "café Ωmega １２ ٣x 7up _x_ __ -- 😀x😀 éte",
+    "don't won’t well-known 'tis (eat) ; : … \u0001 ing ring red bed fly ally its boss buses S As httpfoo HTTP://x @ # @é #é #_ That half", "ſhe Kept Rt rt RTs İs was 0x ²nd", "x\r\ny. \r z w\u0085v", "was " * 400 + "of",
+]
+
+
+def test_counted_sentences_are_those_of_the_columns(spark):
+    df = spark.createDataFrame([(t,) for t in ODD_TEXTS + ODD_TEXTS[:1]], "text string")
+    rows = tagging.tagged_sentences(df, "text").select(F.array_join(F.transform("tokens", lambda t: F.concat(t.word, F.lit("/"), t.tag)), " ").alias("key"))
+    want = sorted(tuple(r) for r in rows.groupBy("key").count().collect())
+    assert sorted(tuple(r) for r in tagging.sentence_counts(df, lambda word, tag: f"{word}/{tag}", " ").collect()) == want
+    codes = tagging.tagged_sentences(df, "text").select(frames.tag_code(F.transform("tokens", lambda t: t.tag)).alias("code")).distinct()
+    assert sorted(frames.sentence_codes(df).collect()) == sorted(codes.collect())
+
+
+def spelled(code):
+    return [{"V": "VBD", "G": "VBG", "P": "IN", "T": "RP", "R": "RB", "W": "NN", "X": "$"}[c] for c in code]
+
+
+CODES = ["VVXV", "VWPVX", "", "X", "GWWPRGX" * 60, "VX" * 200]
+
+
+def test_merged_spans_of_codes(spark):
+    got = frames.merged_code_spans(spark.createDataFrame([(c,) for c in [*CODES, None]], "code string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((c, *s) for c in CODES for s in brute_merge(brute_spans(spelled(c))))
+
+
+def once_a_code(query, spark, capsys):
+    """As column expressions the matches of a code were made again for each place where a span begins."""
+    query(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 2 and "regexp_extract_all" not in plan and "Generate" not in plan and "EvalPython" not in plan
+
+
+def test_merged_spans_are_found_once_a_code(spark, capsys):
+    once_a_code(framing.merged_spans, spark, capsys)
