@@ -3,7 +3,7 @@
 A sentence starts with a chunk tag for each part of speech. Each rule, in order, is tested at every place against the tags
 as they were before the rule, and changes the tags where it holds. Rules see one place beyond the end of the sentence.
 This is a sequential fold over thousands of rules, so it runs in Python on Arrow batches; a sentence is only tested
-against rules whose words and parts of speech all occur in it. Sentences without tokens have no phrases; null stays null.
+against rules whose words and parts of speech all occur in it, at the places of one of them. Sentences without tokens have no phrases; null stays null.
 """
 
 from __future__ import annotations
@@ -70,15 +70,24 @@ class Chunker:
     def __init__(self, rules: tuple[str, ...] = RULES, pos_tags: dict[str, str] | None = None, unknown: str = "I") -> None:
         self.rules = [parse_rule(r) for r in rules if r.strip()]
         self.needs = [{(k, v) for k, _, v in r.parts if k != "T"} for r in self.rules]
+        self.wanted = set().union(*self.needs)
+        self.anchors = [next(((k, v, o[0]) for k, o, v in r.parts if k != "T" and len(o) == 1), None) for r in self.rules]
         self.pos_tags = POS_TAGS if pos_tags is None else pos_tags
         self.unknown = unknown
 
     def tags(self, words: list[str], pos: list[str]) -> list[str]:
         columns = {"W": [*words, END[0]], "P": [*pos, END[1]], "T": [*(self.pos_tags.get(p, self.unknown) for p in pos), END[2]]}
-        present = {("W", w) for w in columns["W"]} | {("P", p) for p in columns["P"]}
-        for rule, need in zip(self.rules, self.needs, strict=True):
-            if need <= present:
-                columns["T"] = [rule.out if rule.holds(i, columns) else t for i, t in enumerate(columns["T"])]
+        places: dict[tuple[str, str], list[int]] = {}
+        for kind in "WP":
+            for i, value in enumerate(columns[kind]):
+                if (kind, value) in self.wanted:
+                    places.setdefault((kind, value), []).append(i)
+        everywhere = range(len(columns["T"]))
+        for rule, need, anchor in zip(self.rules, self.needs, self.anchors, strict=True):
+            if need <= places.keys():
+                at = everywhere if anchor is None else [i - anchor[2] for i in places[anchor[:2]]]
+                for i in [i for i in at if i in everywhere and rule.holds(i, columns)]:
+                    columns["T"][i] = rule.out
         return columns["T"][:-1]
 
     def spans(self, words: list[str], pos: list[str]) -> list[tuple[int, int]]:

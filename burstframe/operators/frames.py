@@ -8,6 +8,8 @@ its regular expressions need stack in proportion to a match, so longer ones are
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from burstframe.functions import text as tx
 from burstframe.operators import tagging
-from burstframe.operators.chunking import RULES, Chunker
+from burstframe.operators.chunking import RULES, Chunker, parse_rule
 from burstframe.operators.tagging import lookup
 
 JVM_TOKENS = 300
@@ -139,6 +141,54 @@ def span_relation(a: Column, b: Column) -> Column:
 Span = tuple[int, int]
 
 
+def _relation(a: Span, b: Span) -> str:
+    """span_relation(), in Python."""
+    (st1, ed1), (st2, ed2) = a, b
+    if ed2 < st1:
+        return "left adjacent" if ed2 + 1 == st1 else "left"
+    if st2 > ed1:
+        return "right adjacent" if st2 == ed1 + 1 else "right"
+    if st2 <= st1 and ed1 <= ed2:
+        return "cover"
+    if st1 <= st2 and ed2 <= ed1:
+        return "insider"
+    return "left intersaction" if st2 < st1 else "right intersaction"
+
+
+def count_relations(verbs: list[Span], phrases: list[Span], counts: Counter[str], n: int = 1) -> None:
+    """Adds n for each verb span and phrase to the count of their relation. Phrases are in order and apart, so those that lie
+    wholly to one side are counted without looking at each."""
+    starts, ends = [p[0] for p in phrases], [p[1] for p in phrases]
+    for v in verbs:
+        first, last = bisect_left(ends, v[0] - 1), bisect_right(starts, v[1] + 1)
+        for name, k in (("left", first), ("right", len(phrases) - last)):
+            if k:
+                counts[name] += n * k
+        for p in phrases[first:last]:
+            counts[_relation(v, p)] += n
+
+
+def relation_counts(texts: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """(relation, n): how the phrases of the sentences of (text) lie to their verb spans. Both follow from the tags and the
+    words that rules name, so sentences that agree in those are counted first and worked out once."""
+    named = frozenset(v for r in rules if r.strip() for k, _, v in parse_rule(r).parts if k == "W")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunker = Chunker(rules)
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = [x.partition("/") for x in key.split(" ")] if key else []
+                words, tags = [p[2] for p in parts], [p[0] for p in parts]
+                verbs = _python_spans("".join(_CODE_OF.get(t, "X") for t in tags))
+                if verbs:
+                    count_relations([(s["st"], s["ed"]) for s in verbs], chunker.spans(words, tags), counts, n)
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["relation", "n"])
+
+    keys = tagging.sentence_counts(texts, lambda word, tag: f"{tag}/{word}" if word in named else tag, " ")
+    return keys.mapInArrow(run, "relation STRING, n BIGINT").groupBy("relation").agg(F.sum("n").alias("n"))
+
+
 def refine_phrase(tags: list[str], span: Span) -> list[Span]:
     """The phrase without interjections, marks and brackets at its ends; if commas or stops are inside, the pieces between
     them that end in a noun."""

@@ -45,9 +45,7 @@ def merged_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def span_relations(spark: SparkSession, d: str) -> DataFrame:
     """How the phrases of sentences lie to their verb spans."""
-    rows = _chunked(spark, d).select("phrases", frames.verb_spans(F.transform("tokens", lambda t: t.tag)).alias("verbs"))
-    pairs = rows.select(F.explode("verbs").alias("v"), "phrases").select("v", F.explode("phrases").alias("p"))
-    return pairs.groupBy(frames.span_relation(F.col("v"), F.col("p")).alias("relation")).agg(F.count(F.lit(1)).alias("n"))
+    return frames.relation_counts(placed_tweets(spark, d))
 
 
 def np_chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +218,41 @@ def once_a_code(query, spark, capsys):
 
 def test_merged_spans_are_found_once_a_code(spark, capsys):
     once_a_code(framing.merged_spans, spark, capsys)
+
+
+def test_relation_counts_are_those_of_the_columns(spark):
+    rng = random.Random(3)
+    for _ in range(200):
+        cuts = sorted(rng.sample(range(16), 8))
+        phrases = [(a, b - rng.randint(0, 1) * (b > a)) for a, b in zip(cuts[::2], [x - 1 for x in cuts[2::2]] + [17], strict=True)]
+        phrases = [p for p in phrases if p[0] <= p[1]]
+        verbs = [(a, a + rng.randint(0, 9)) for a in sorted(rng.sample(range(14), 3))]
+        counts = Counter()
+        frames.count_relations(verbs, phrases, counts, 2)
+        assert counts == Counter(x for v in verbs for p in phrases for x in [frames._relation(v, p)] * 2)
+    spans = [(a, b) for a in range(5) for b in range(a, 5)]
+    rows = spark.createDataFrame([(a, b, frames._relation(a, b)) for a in spans for b in spans], "a struct<st: int, ed: int>, b struct<st: int, ed: int>, r string")
+    assert rows.where(frames.span_relation(F.col("a"), F.col("b")) != F.col("r")).count() == 0
+
+    texts = [*ODD_TEXTS, "He said that broke the half. 7 half and dogs.", "Bob kept the old bridge of my river, that went up 10 half."] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = tagging.tagged_sentences(df).withColumn("p", chunking.np_chunks(F.col("tokens"))).withColumn("v", frames.verb_spans(F.transform("tokens", lambda t: t.tag)))
+    pairs = rows.select(F.explode("v").alias("v"), "p").select("v", F.explode("p").alias("p"))
+    want = pairs.groupBy(frames.span_relation(F.col("v"), F.col("p")).alias("relation")).count()
+    assert sorted(tuple(r) for r in frames.relation_counts(df).collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_rules_are_tried_where_they_can_hold():
+    """Against every rule at every place."""
+    rng, rules = random.Random(5), (*chunking.RULES, "W_3_2_1P0 that NN O", "P1 ZZZ B", "T0T1 I I B", "P_1W0 NN that I", "P2P0 NN DT O", "W3 half I")
+    chunker = chunking.Chunker(rules)
+    for _ in range(500):
+        words, pos = zip(*[(rng.choice(["that", "half", "x"]), rng.choice(TAGS)) for _ in range(rng.randint(1, 12))], strict=True)
+        columns = {"W": [*words, "ZZZ"], "P": [*pos, "ZZZ"], "T": [*(chunking.POS_TAGS.get(p, "I") for p in pos), "Z"]}
+        for rule in map(chunking.parse_rule, rules):
+            columns["T"] = [rule.out if rule.holds(i, columns) else t for i, t in enumerate(columns["T"])]
+        assert chunker.tags(list(words), list(pos)) == columns["T"][:-1]
+
+
+def test_span_relations_are_found_once_for_equal_sentences(spark, capsys):
+    once_a_code(framing.span_relations, spark, capsys)
