@@ -1,8 +1,8 @@
 """Verb spans and argument-verb-argument frames of tagged sentences.
 
 Tags are coded as one character each, so that patterns over tags are patterns over a string and places in it are places in
-the sentence. Spans are (st, ed), both inclusive and counted from 0. Sentences of up to JVM_TOKENS tokens stay in the JVM;
-its regular expressions need stack in proportion to a match, so longer ones are matched in Python, with the same result.
+the sentence. Spans are (st, ed), both inclusive and counted from 0. Patterns are matched in Python: the JVM's regular
+expressions need stack in proportion to a match, and give no places.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from burstframe.operators import tagging
 from burstframe.operators.chunking import RULES, Chunker, parse_rule
 from burstframe.operators.tagging import lookup
 
-JVM_TOKENS = 300
 #: Tags by code. $ and PRP$ break a run of words, as X.
 CODES = {
     "R": "RB", "V": "MD VB VBD VBP VBZ", "G": "VBG VBN", "P": "IN TO", "T": "RP",
@@ -42,29 +41,7 @@ def tag_code(tags: Column) -> Column:
     return F.array_join(F.transform(tags, lambda t: F.coalesce(lookup(CODES, t), F.lit("X"))), "")
 
 
-def _matches(code: Column, pattern: str) -> Column:
-    """(st, ed) of the matches: the gaps between them and the matches themselves, laid end to end."""
-    gaps = F.split(code, pattern)
-    found = F.regexp_extract_all(code, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<st: int, ed: int>>").alias("out"))
-    folded = F.aggregate(
-        F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("n"))),
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x.gap + x.n).alias("at"),
-            F.array_append(acc.out, F.struct((acc["at"] + x.gap).alias("st"), (acc["at"] + x.gap + x.n - 1).alias("ed"))).alias("out"),
-        ),
-    )
-    return folded.out
-
-
-@F.pandas_udf(ArrayType(_SPAN))
-def _long_matches(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in codes:
-        yield pd.Series([None if c is None else _python_spans(c) for c in batch], dtype=object)
-
-
-def _python_spans(code: str) -> list[dict[str, int]]:
+def _spans(code: str) -> list[dict[str, int]]:
     ends: dict[int, int] = {}
     for pattern in (SHORT, LONG):
         for m in re.finditer(pattern, code):
@@ -83,9 +60,14 @@ def _merged(spans: list[dict[str, int]]) -> list[dict[str, int]]:
     return out
 
 
+def code_spans(codes: DataFrame) -> DataFrame:
+    """(code, st, ed): the verb spans of each (code)."""
+    return _span_rows(codes, _spans)
+
+
 def merged_code_spans(codes: DataFrame) -> DataFrame:
     """(code, st, ed): the merged verb spans of each (code)."""
-    return _span_rows(codes, lambda code: _merged(_python_spans(code)))
+    return _span_rows(codes, lambda code: _merged(_spans(code)))
 
 
 def _span_rows(codes: DataFrame, find: Callable[[str], list[dict[str, int]]]) -> DataFrame:
@@ -106,14 +88,15 @@ def sentence_codes(texts: DataFrame) -> DataFrame:
     return tagging.sentence_counts(texts, lambda _word, tag: _CODE_OF.get(tag, "X")).select(F.col("key").alias("code"))
 
 
+@F.pandas_udf(ArrayType(_SPAN))
+def _spans_of(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in codes:
+        yield pd.Series([None if c is None else _spans(c) for c in batch], dtype=object)
+
+
 def verb_spans(tags: Column) -> Column:
     """The longest span from each place where a short or a long relation begins, in order."""
-    code = tag_code(tags)
-    short = F.when(F.length(code) <= JVM_TOKENS, code)
-    both = F.concat(_matches(short, SHORT), _matches(short, LONG))
-    starts = F.array_sort(F.array_distinct(F.transform(both, lambda s: s.st)))
-    longest = F.transform(starts, lambda st: F.struct(st.alias("st"), F.array_max(F.transform(F.filter(both, lambda s: s.st == st), lambda s: s.ed)).alias("ed")))
-    return F.coalesce(longest, _long_matches(F.when(F.length(code) > JVM_TOKENS, code)))
+    return _spans_of(tag_code(tags))
 
 
 def merge_spans(spans: Column) -> Column:
@@ -180,7 +163,7 @@ def relation_counts(texts: DataFrame, rules: tuple[str, ...] = RULES) -> DataFra
             for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = [x.partition("/") for x in key.split(" ")] if key else []
                 words, tags = [p[2] for p in parts], [p[0] for p in parts]
-                verbs = _python_spans("".join(_CODE_OF.get(t, "X") for t in tags))
+                verbs = _spans("".join(_CODE_OF.get(t, "X") for t in tags))
                 if verbs:
                     count_relations([(s["st"], s["ed"]) for s in verbs], chunker.spans(words, tags), counts, n)
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["relation", "n"])
@@ -236,7 +219,7 @@ def extract(words: list[str], tags: list[str], phrases: list[Span]) -> list[dict
     if any(t.startswith("FW") for t in tags):
         return []
     code = "".join(_CODE_OF.get(t, "X") for t in tags)
-    verbs = [(s["st"], s["ed"]) for s in _merged(_python_spans(code))]
+    verbs = [(s["st"], s["ed"]) for s in _merged(_spans(code))]
     refined = [p for span in phrases for p in refine_phrase(tags, span)]
     out = []
     for st, ed in verbs:

@@ -35,8 +35,7 @@ def tag_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verb_spans(spark: SparkSession, d: str) -> DataFrame:
-    rows = _codes(spark, d).select(frames.tag_code(F.col("tags")).alias("code"), frames.verb_spans(F.col("tags")).alias("spans"))
-    return rows.select("code", F.inline("spans")).distinct()
+    return frames.code_spans(frames.sentence_codes(placed_tweets(spark, d)))
 
 
 def merged_spans(spark: SparkSession, d: str) -> DataFrame:

@@ -256,3 +256,9 @@ def test_rules_are_tried_where_they_can_hold():
 
 def test_span_relations_are_found_once_for_equal_sentences(spark, capsys):
     once_a_code(framing.span_relations, spark, capsys)
+
+
+def test_verb_spans_are_found_once_a_code(spark, capsys):
+    got = frames.code_spans(spark.createDataFrame([(c,) for c in [*CODES, None]], "code string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((c, *s) for c in CODES for s in brute_spans(spelled(c)))
+    once_a_code(framing.verb_spans, spark, capsys)
